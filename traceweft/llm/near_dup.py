@@ -7,14 +7,17 @@ borrows from a donor that depends on the bin alone (optimal densification). Clas
 rows of a band share a bucket. In a bucket the members get ranks; a star links the first with all
 others, and each candidate edge is confirmed on the full sets. Where a bucket still holds several
 components its next members become centres, one, two, four, ... at a time, until every pair of
-members has been compared or is linked already: stars bound the pairs where copies abound, and no link is lost.
+members has been compared, is linked already, or cannot be linked. For the last, the shingles that a class
+of a crowded bucket shares with no other such class are counted: they are in no intersection, which bounds
+the similarity of all its pairs. Classes with few of them stand nearest to what a group copies, and are its
+first centres. So stars bound the pairs where copies abound, and no link is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +26,8 @@ from traceweft.llm.durable import Tables, small_batches
 from traceweft.llm.words import U, mix, set_hash, windows, words_of
 
 WIDTH = 5
+#: Buckets of this many classes or more count the shingles that their classes share with no other.
+CROWD = 16
 
 
 def shape(percent: int, bins: int = 252, miss: float = 1e-5) -> tuple[int, int]:
@@ -139,13 +144,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     classes = t.keep("classes", seen.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     ranked = classes.select("cls", "n", F.explode("keys").alias("bucket"))
     by_bucket = Window.partitionBy("bucket")
-    members = t.keep(
-        "members",
-        ranked.withColumn("size", F.count(F.lit(1)).over(by_bucket)).where("size > 1").withColumn("rank", F.row_number().over(by_bucket.orderBy("cls"))),
-    )
+    members = t.keep("buckets", ranked.withColumn("size", F.count(F.lit(1)).over(by_bucket)).where("size > 1"))
     wanted = members.select("cls").distinct().join(classes.select("cls", "least"), "cls")
     pool = t.keep("pool", base.join(wanted, base.doc_id.eqNullSafe(wanted.least)).select("cls", "text").mapInArrow(_sets, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles")))
-    labels = _linked(spark, t, members, pool, percent)
+    crowd = pool.join(members.where(F.col("size") >= CROWD).select("cls").distinct(), "cls", "left_semi")
+    crowd = t.keep("crowd", crowd.withColumn("id", F.monotonically_increasing_id()))
+    lone = crowd.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    lone = crowd.select("cls", "id").join(lone, "id").select("cls", "lone")
+    shared = F.col("n") - F.when(F.col("size") >= CROWD, F.coalesce("lone", F.lit(0))).otherwise(0)
+    members = members.join(lone, "cls", "left").select("bucket", "cls", "size", "n", shared.alias("shared"))
+    members = t.keep("members", members.withColumn("rank", F.row_number().over(by_bucket.orderBy(F.col("n") - F.col("shared"), "cls"))))
+    labels = _linked(t, members, pool, percent)
     least = classes.select("cls", "least")
     if labels is not None:
         own = least.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -158,7 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("cls").isNull(), F.lit(False)).alias("kept"))
 
 
-def _linked(spark: SparkSession, t: Tables, members: DataFrame, pool: DataFrame, percent: int) -> DataFrame | None:
+def _linked(t: Tables, members: DataFrame, pool: DataFrame, percent: int) -> DataFrame | None:
     """Component label of every class that has a link; None if there is no link at all."""
     largest = members.agg(F.max("size")).first()[0] or 0
     links: DataFrame | None = None
@@ -174,10 +183,13 @@ def _linked(spark: SparkSession, t: Tables, members: DataFrame, pool: DataFrame,
             m = m.join(open_, "bucket", "left_semi")
         else:
             m = m.withColumn("label", F.col("cls"))
-        centre = m.where(F.col("rank").between(low, high)).select("bucket", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        other = m.where(F.col("rank") > low).select("bucket", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
-        # sizes alone rule a pair out when even full containment falls short of the threshold
-        pairs = centre.join(other, "bucket").where((F.col("ra") < F.col("rb")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
+        side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "shared", "rank", "label")]
+        centre = m.where(F.col("rank").between(low, high)).select("bucket", *side("a"))
+        other = m.where(F.col("rank") > low).select("bucket", *side("b"))
+        # at most the lesser count of shared shingles can be common; where even that falls short there is no link
+        most = F.least("ashared", "bshared")
+        pairs = centre.join(other, "bucket").where((F.col("arank") < F.col("brank")) & (F.col("alabel") != F.col("blabel")) & (100 * most >= percent * (F.col("an") + F.col("bn") - most)))
+        pairs = pairs.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"), (F.col("an") + F.col("bn")).alias("both_n")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = t.keep(f"pairs{step}", pairs)
@@ -190,7 +202,7 @@ def _linked(spark: SparkSession, t: Tables, members: DataFrame, pool: DataFrame,
         two = pool.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         # one set crosses to the centre's side, the other is met there; the larger copy is never doubled
-        true = pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+        true = pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("both_n") - F.col("both"))).select("a", "b")
         true = t.keep(f"links{step}", true)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         links = true if links is None else links.unionByName(true)
