@@ -26,3 +26,39 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id
        coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp c USING (doc_id)
 """
+
+SQL["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h
+  FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 48))) AS r(i) WHERE len(ws) >= 50),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (h) WHERE m < doc_id),
+cov AS (SELECT DISTINCT doc_id, i + k AS p FROM hit, range(0, 50) AS t(k)),
+word AS (
+  SELECT doc_id, p, ws[p] AS x FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1))) AS r(p)),
+kept AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(x, ' ' ORDER BY p)) AS s
+  FROM word ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, coalesce(s, sha256('')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+SQL["op6_chat_prefix_tree"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+f AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>') AS e,
+         replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:') AS r
+  FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(e) + length(r) + length('### : </turn>') + 1)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""

@@ -5,18 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from traceweft.llm import near_dup
+from traceweft.llm import chat, decontam, near_dup, substring, unigram, urls
+
+#: Where the public vocabulary files are; every operator takes it as a parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: The rules that the URL filter's query applies.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: A conversation that holds the template's own control strings.
+TRAP = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame(TRAP, talks.schema)
+    return chat.read_back(chat.formatted_tree(talks.unionByName(trap)))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoded(table(spark, sf_dir, "documents"), unigram.Model.load(PIECES), digest=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op8_minhash_near_dup": op8_minhash_near_dup,
-    }
+    return {f.__name__: f for f in (op3_substring_dedup, op5_simhash_decontamination, op6_chat_prefix_tree, op7_url_filter, op8_minhash_near_dup, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
