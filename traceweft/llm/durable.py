@@ -6,6 +6,7 @@ session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,15 @@ class Tables:
         self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files behind tables that are written.
+
+        It follows the driver's garbage collection, which may be half an hour away; until then the files of
+        every finished step would take disk on all executors.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

@@ -149,14 +149,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = t.keep("first", first.withColumn("uid", F.monotonically_increasing_id()))
     anchor = first.select("doc_id", "uid", F.posexplode("anchors").alias("place", "h"))
     shared = anchor.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    places = anchor.select("uid", "place", "h").join(shared, "h").groupBy("uid").agg(F.collect_list("place").alias("places"))
+    t.settle()
+    places = t.keep("places", anchor.select("uid", "place", "h").join(shared, "h").groupBy("uid").agg(F.collect_list("place").alias("places")))
+    t.settle()
     hit = first.select("uid", "doc_id", "seq").join(places, "uid")
     met = t.keep("met", base.join(hit, "doc_id"))
+    t.settle()
     window = met.mapInArrow(_windows, "h long, g int, doc_id long, uid long, start int")
     earlier = window.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "g", "a")
     starts = window.join(earlier, ["h", "g"]).where("a < doc_id").groupBy("uid").agg(F.collect_list("start").alias("starts"))
+    starts = t.keep("starts", starts)
+    t.settle()
     cut = met.select("doc_id", "seq", "uid", "text").join(starts, "uid").mapInArrow(_cut, "doc_id long, seq binary, n_removed long, kept_sha256 string, kept_text string")
     cut = t.keep("cut", cut.dropDuplicates(["doc_id", "seq"]))
+    t.drop("met", "starts", "places")
+    t.settle()
     least = first.select("seq", F.col("doc_id").alias("least"))
     done = seen.join(least, "seq", "left").join(cut, ["doc_id", "seq"], "left")
     copy = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
