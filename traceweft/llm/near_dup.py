@@ -104,14 +104,16 @@ def _sketcher(bands: int, rows: int):
                 if len(s):
                     sig[i] = sketch.signature(s)
             keys = sketch.keys(sig)
+            rest = [b.column(i) for i, name in enumerate(b.schema.names) if name == "row"]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel())),
+                    *rest,
                 ],
-                names=["doc_id", "n_shingles", "cls", "keys"],
+                names=["doc_id", "n_shingles", "cls", "keys", *(["row"] if rest else [])],
             )
 
     return run
@@ -126,22 +128,26 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in same], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["cls", "shingles"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id", rows_too: bool = False) -> DataFrame:
     """Groups documents linked by chains of pairs with 100 * |A & B| >= percent * |A | B|.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id),
     one row for each input row. A null or wordless text has an empty set and stands alone. Rows that repeat
     a doc_id are compared as they are; rows without a doc_id take part, but have the id null and aren't kept
     unless they stand alone. Other columns of the input are ignored, whatever their names. An empty table
-    gives an empty result.
+    gives an empty result. With ``rows_too`` also row (the input row) and stays, which is true for exactly one
+    input row of each group, even where rows repeat, and for every row that stands alone.
     """
     spark = docs.sparkSession
     small_batches(spark)
     t = Tables(spark, "near-dup")
     bands, rows = shape(percent)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = t.keep("sketches", base.mapInArrow(_sketcher(bands, rows), "doc_id long, n_shingles long, cls binary, keys array<long>"))
-    classes = t.keep("classes", seen.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows_too else []))
+    more = f", row {base.schema['row'].dataType.simpleString()}" if rows_too else ""
+    seen = t.keep("sketches", base.mapInArrow(_sketcher(bands, rows), f"doc_id long, n_shingles long, cls binary, keys array<long>{more}").withColumn("uid", F.monotonically_increasing_id()))
+    base = base.select("doc_id", "text")
+    front = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")  # the row that stands for its class
+    classes = t.keep("classes", seen.where("cls is not null").groupBy("cls").agg(F.min(front).alias("front"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")).withColumn("least", F.col("front.doc_id")))
     ranked = classes.select("cls", "n", F.explode("keys").alias("bucket"))
     by_bucket = Window.partitionBy("bucket")
     members = t.keep("buckets", ranked.withColumn("size", F.count(F.lit(1)).over(by_bucket)).where("size > 1"))
@@ -155,16 +161,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     members = members.join(lone, "cls", "left").select("bucket", "cls", "size", "n", shared.alias("shared"))
     members = t.keep("members", members.withColumn("rank", F.row_number().over(by_bucket.orderBy(F.col("n") - F.col("shared"), "cls"))))
     labels = _linked(t, members, pool, percent)
-    least = classes.select("cls", "least")
+    least = classes.select("cls", "front")
     if labels is not None:
         own = least.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        first = own.groupBy("label").agg(F.min("least").alias("component_id"))
-        least = own.join(first, "label").select("cls", "component_id")
+        first = own.groupBy("label").agg(F.min("front").alias("first"))
+        least = own.join(first, "label").select("cls", "first")
     else:
-        least = least.withColumnRenamed("least", "component_id")
-    out = seen.select("doc_id", "n_shingles", "cls").join(least, "cls", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("cls").isNull(), F.lit(False)).alias("kept"))
+        least = least.withColumnRenamed("front", "first")
+    out = seen.drop("keys").join(least, "cls", "left")
+    component = F.coalesce("first.doc_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.col("cls").isNull(), F.lit(False))
+    stays = F.col("cls").isNull() | (F.col("uid") == F.col("first.uid"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *([stays.alias("stays"), "row"] if rows_too else []))
 
 
 def _linked(t: Tables, members: DataFrame, pool: DataFrame, percent: int) -> DataFrame | None:

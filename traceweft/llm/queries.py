@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceweft.llm import chat, decontam, near_dup, substring, unigram, urls
+from traceweft.llm import ann, chat, decontam, langid, near_dup, quality, substring, toxicity, unigram, urls
 
 #: Where the public vocabulary files are; every operator takes it as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -21,6 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op1_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(4) == 2)
+
+
+def op2_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(3) == 1)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -47,8 +63,16 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"), unigram.Model.load(PIECES), digest=True)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_simhash_decontamination, op6_chat_prefix_tree, op7_url_filter, op8_minhash_near_dup, op9_sentencepiece)}
+    every = (
+        op1_byte_conv_quality, op2_anisotropic_ann, op3_substring_dedup, op4_subword_toxicity, op5_simhash_decontamination,
+        op6_chat_prefix_tree, op7_url_filter, op8_minhash_near_dup, op9_sentencepiece, op10_language_id,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,9 +46,10 @@ def _anchors(batches):
             lists.append(every[a + at[cover[at % PERIOD]]])
         ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        rest = [b.column(i) for i, name in enumerate(b.schema.names) if name == "row"]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(seqs, pa.binary()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(ends, pa.array(flat))],
-            names=["doc_id", "n_words", "seq", "sha", "anchors"],
+            [*rest, b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(seqs, pa.binary()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(ends, pa.array(flat))],
+            names=[*(["row"] if rest else []), "doc_id", "n_words", "seq", "sha", "anchors"],
         )
 
 
@@ -130,20 +131,27 @@ def _cut(batches):
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rows_too: bool = False) -> DataFrame:
     """Removes each word in a 50-word window that also starts in a document with a smaller doc_id.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 for each input row, and with ``texts`` also seq (the class
-    of the row's words) and kept_text, which is null where nothing was removed. Windows are judged on the
-    input. A null text has no words. Rows that repeat a doc_id never remove each other's words; a row without
-    a doc_id neither removes nor loses words. An empty table gives an empty result; other columns are ignored.
+    Returns doc_id, n_words, n_removed, kept_sha256 for each input row, and with ``rows_too`` also row (the
+    input row) and kept_text: the text without the removed words and the white space behind them, null where
+    nothing was removed. Windows are judged on the input. A null text has no words. Rows that repeat a doc_id
+    never remove each other's words; a row without a doc_id neither removes nor loses words. An empty table
+    gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     t = Tables(spark, "substring")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scanned = base.mapInArrow(_anchors, "doc_id long, n_words long, seq binary, sha string, anchors array<long>")
-    seen = t.keep("rows", scanned.select("doc_id", "n_words", "seq", "sha"))
+    scan = "doc_id long, n_words long, seq binary, sha string, anchors array<long>"
+    scanned = base.mapInArrow(_anchors, scan)
+    if rows_too:
+        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        seen = whole.mapInArrow(_anchors, f"row {whole.schema['row'].dataType.simpleString()}, {scan}").drop("anchors")
+    else:
+        seen = scanned.select("doc_id", "n_words", "seq", "sha")
+    seen = t.keep("rows", seen)
     # one row for each sequence of words: that of its least doc_id
     first = scanned.where(f"doc_id is not null and n_words >= {LENGTH}").groupBy("seq").agg(F.min_by("anchors", "doc_id").alias("anchors"), F.min("doc_id").alias("doc_id"))
     first = t.keep("first", first.withColumn("uid", F.monotonically_increasing_id()))
@@ -157,20 +165,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     t.settle()
     window = met.mapInArrow(_windows, "h long, g int, doc_id long, uid long, start int")
     earlier = window.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "g", "a")
-    starts = window.join(earlier, ["h", "g"]).where("a < doc_id").groupBy("uid").agg(F.collect_list("start").alias("starts"))
-    starts = t.keep("starts", starts)
+    starts = t.keep("starts", window.join(earlier, ["h", "g"]).where("a < doc_id").groupBy("uid").agg(F.collect_list("start").alias("starts")))
     t.settle()
     cut = met.select("doc_id", "seq", "uid", "text").join(starts, "uid").mapInArrow(_cut, "doc_id long, seq binary, n_removed long, kept_sha256 string, kept_text string")
-    cut = t.keep("cut", cut.dropDuplicates(["doc_id", "seq"]))
+    cut = t.keep("cut", cut.dropDuplicates(["seq"]))
     t.drop("met", "starts", "places")
     t.settle()
-    least = first.select("seq", F.col("doc_id").alias("least"))
-    done = seen.join(least, "seq", "left").join(cut, ["doc_id", "seq"], "left")
-    copy = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
+    done = seen.join(first.select("seq", F.col("doc_id").alias("least")).join(cut.drop("doc_id"), "seq", "left"), "seq", "left")
+    copy, own = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)), F.coalesce(F.col("least") == F.col("doc_id"), F.lit(False))
     cols = [
         "doc_id",
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copy, F.col("n_words")).otherwise(F.when(own, F.coalesce("n_removed", F.lit(0))).otherwise(0)).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(EMPTY)).otherwise(F.when(own, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha"))).alias("kept_sha256"),
     ]
-    return done.select(*cols, *(["seq", F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if texts else []))
+    return done.select(*cols, *([F.when(copy, F.lit("")).when(own, F.col("kept_text")).alias("kept_text"), "row"] if rows_too else []))

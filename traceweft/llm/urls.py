@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that mark an unwanted address.
-SEEDS = ("spam", "spammer", "casino", "poker", "gambling", "betting", "porn", "xxx", "adult", "viagra", "pills", "pharma", "malware", "phish", "phishing", "warez", "crack", "torrent", "scam", "clickbait", "payday", "loan")
+SEEDS = ("spam", "spammer", "casino", "poker", "gambling", "betting", "porn", "xxx", "adult", "viagra", "pills", "pharma", "malware", "phish", "phishing", "warez", "crack", "torrent", "scam", "clickbait", "payday", "loan", "ads", "bets", "bet", "cheap")
 #: Longest substring of a label that is taken for a word.
 LONGEST = 24
 Rule = tuple[str, str, str]
@@ -52,7 +52,8 @@ def _labels(host: Column) -> Column:
 
 
 def _path_words(path: Column) -> Column:
-    return F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Lower-cased runs of letters and digits; a run of digits alone stands as 0, for its value says nothing."""
+    return F.transform(F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), "0").otherwise(x))
 
 
 def _viterbi(batches):
@@ -113,7 +114,7 @@ def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: st
     address = base.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")).join(host_words, "host", "left")
     tokens = F.concat(F.transform(F.coalesce("host_words", F.array().cast("array<string>")), lambda x: F.concat(F.lit("h:"), x)), F.transform(_path_words(F.col("path")), lambda x: F.concat(F.lit("p:"), x)))
     address = address.withColumn("tokens", tokens)
-    seeds = F.array(*[F.lit(f"{k}:{w}") for w in SEEDS for k in "hp"])
+    seeds = F.array(*[F.lit(f"{k}:{w}") for w in SEEDS for k in ("h", "p")])
     address = address.withColumn("bad", F.arrays_overlap("tokens", seeds))
     parts = address.select("host", "path", "pages", "bad", F.explode("tokens").alias("token"))
     n = lambda bad: F.sum(F.when(F.col("bad") == F.lit(bad), F.col("pages")).otherwise(0))
