@@ -6,8 +6,8 @@ shingle: its high bits choose one of ``bands * rows`` bins, the least value stay
 borrows from a donor that depends on the bin alone (optimal densification). Classes that agree in all
 rows of a band share a bucket. In a bucket the members get ranks; a star links the first with all
 others, and each candidate edge is confirmed on the full sets. Where a bucket still holds several
-components its next members become centres, one, two, four, ... at a time, until every pair of
-members has been compared, is linked already, or cannot be linked. For the last, the shingles that a class
+components its next members become centres, all at once where few pairs are left, else twice as many each
+time, until every pair of members has been compared, is linked already, or cannot be linked. For the last, the shingles that a class
 of a crowded bucket shares with no other such class are counted: they are in no intersection, which bounds
 the similarity of all its pairs. Classes with few of them stand nearest to what a group copies, and are its
 first centres. So stars bound the pairs where copies abound, and no link is lost.
@@ -28,6 +28,8 @@ from traceweft.llm.words import U, mix, set_hash, windows, words_of
 WIDTH = 5
 #: Buckets of this many classes or more count the shingles that their classes share with no other.
 CROWD = 16
+#: Candidate pairs for each member of a bucket that are compared at once.
+FEW = 4
 
 
 def shape(percent: int, bins: int = 252, miss: float = 1e-5) -> tuple[int, int]:
@@ -158,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     lone = crowd.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     lone = crowd.select("cls", "id").join(lone, "id").select("cls", "lone")
     shared = F.col("n") - F.when(F.col("size") >= CROWD, F.coalesce("lone", F.lit(0))).otherwise(0)
-    members = members.join(lone, "cls", "left").select("bucket", "cls", "size", "n", shared.alias("shared"))
+    members = members.join(lone, "cls", "left").select("bucket", "cls", "size", "n", shared.alias("shared")).where(100 * F.col("shared") >= percent * F.col("n"))
     members = t.keep("members", members.withColumn("rank", F.row_number().over(by_bucket.orderBy(F.col("n") - F.col("shared"), "cls"))))
     labels = _linked(t, members, pool, percent)
     least = classes.select("cls", "front")
@@ -175,45 +177,52 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *([stays.alias("stays"), "row"] if rows_too else []))
 
 
+def _open_pairs(members: DataFrame, labels: DataFrame | None, percent: int, low: int, high: int) -> DataFrame:
+    """Pairs of a centre (ranks low to high) and a later member of a bucket that are not linked yet but might be."""
+    m = members.where((F.col("size") > low) & (F.col("rank") >= low))
+    if labels is None:
+        m = m.withColumn("label", F.col("cls"))
+    else:
+        m = m.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        open_ = m.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+        m = m.join(open_, "bucket", "left_semi")
+    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "shared", "rank", "label")]
+    centre = m.where(F.col("rank") <= high).select("bucket", *side("a"))
+    # at most the lesser count of shared shingles can be common; where even that falls short there is no link
+    most = F.least("ashared", "bshared")
+    might = (F.col("arank") < F.col("brank")) & (F.col("alabel") != F.col("blabel")) & (100 * most >= percent * (F.col("an") + F.col("bn") - most))
+    pairs = centre.join(m.select("bucket", *side("b")), "bucket").where(might)
+    return pairs.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"), (F.col("an") + F.col("bn")).alias("both_n"))
+
+
 def _linked(t: Tables, members: DataFrame, pool: DataFrame, percent: int) -> DataFrame | None:
     """Component label of every class that has a link; None if there is no link at all."""
-    largest = members.agg(F.max("size")).first()[0] or 0
-    links: DataFrame | None = None
+    state = members.agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("rows")).first()
+    largest, linear = state["largest"] or 0, FEW * (state["rows"] or 0)
     tried: DataFrame | None = None
     labels: DataFrame | None = None
     low, high, step = 1, 1, 0
     while low < largest:
         step += 1
-        m = members.where(F.col("size") > low)
-        if labels is not None:
-            m = m.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            open_ = m.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-            m = m.join(open_, "bucket", "left_semi")
-        else:
-            m = m.withColumn("label", F.col("cls"))
-        side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "shared", "rank", "label")]
-        centre = m.where(F.col("rank").between(low, high)).select("bucket", *side("a"))
-        other = m.where(F.col("rank") > low).select("bucket", *side("b"))
-        # at most the lesser count of shared shingles can be common; where even that falls short there is no link
-        most = F.least("ashared", "bshared")
-        pairs = centre.join(other, "bucket").where((F.col("arank") < F.col("brank")) & (F.col("alabel") != F.col("blabel")) & (100 * most >= percent * (F.col("an") + F.col("bn") - most)))
-        pairs = pairs.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"), (F.col("an") + F.col("bn")).alias("both_n")).distinct()
+        pairs = _open_pairs(members, labels, percent, low, high)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = t.keep(f"pairs{step}", pairs)
-        low, high = high + 1, 2 * high + 1
-        if pairs.isEmpty():
-            if labels is not None and m.isEmpty():
+        pairs = t.keep(f"pairs{step}", pairs.distinct())
+        if not pairs.isEmpty():
+            one = pool.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
+            two = pool.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
+            both = F.size(F.array_intersect("sa", "sb"))
+            true = pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("both_n") - F.col("both"))).select("a", "b")
+            true = t.keep(f"links{step}", true)
+            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+            if not true.isEmpty():
+                edges = true if labels is None else true.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")))
+                labels = t.keep(f"labels{step}", components(t, edges, f"{step}"))
+        low = high + 1
+        if low < largest:
+            # the rest at once if it is few pairs for each member, else twice as many centres as before
+            rest = _open_pairs(members, labels, percent, low, largest).limit(linear + 1).count()
+            if rest == 0:
                 break
-            continue
-        one = pool.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-        two = pool.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        # one set crosses to the centre's side, the other is met there; the larger copy is never doubled
-        true = pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("both_n") - F.col("both"))).select("a", "b")
-        true = t.keep(f"links{step}", true)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        links = true if links is None else links.unionByName(true)
-        if not true.isEmpty():
-            labels = t.keep(f"labels{step}", components(t, links, f"{step}"))
+            high = largest if rest <= linear else 2 * low
     return labels
