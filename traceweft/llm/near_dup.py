@@ -4,13 +4,15 @@ Every text becomes the set of its distinct 5-word shingles. Texts with the same
 copies cost one row each and never meet in pairs. The sets of classes are sketched by one hash of each
 shingle: its high bits choose one of ``bands * rows`` bins, the least value stays, and an empty bin
 borrows from a donor that depends on the bin alone (optimal densification). Classes that agree in all
-rows of a band share a bucket. In a bucket the members get ranks; a star links the first with all
-others, and each candidate edge is confirmed on the full sets. Where a bucket still holds several
-components its next members become centres, all at once where few pairs are left, else twice as many each
-time, until every pair of members has been compared, is linked already, or cannot be linked. For the last, the shingles that a class
-of a crowded bucket shares with no other such class are counted: they are in no intersection, which bounds
-the similarity of all its pairs. Classes with few of them stand nearest to what a group copies, and are its
-first centres. So stars bound the pairs where copies abound, and no link is lost.
+rows of a band share a bucket. In a bucket a star links its first member with all others, and each
+candidate edge is confirmed on the full sets; stars bound the pairs where copies abound.
+
+Members that the stars leave in different components are compared with each other in a second round, so no
+link is lost: in small buckets all of them, in crowded ones those pairs that a prefix filter cannot rule
+out. For that the shingles of crowded classes are ordered from rare to common; two sets as similar as asked
+share one of their first few, and the place of the first shared one bounds what they have in common. Texts
+that drifted apart begin with shingles of their own, so groups of thousands give few pairs. Classes whose
+shingles are the least their own stand nearest to what a group copies, and are the centres of its stars.
 """
 
 from __future__ import annotations
@@ -26,10 +28,8 @@ from traceweft.llm.durable import Tables, small_batches
 from traceweft.llm.words import U, mix, set_hash, windows, words_of
 
 WIDTH = 5
-#: Buckets of this many classes or more count the shingles that their classes share with no other.
+#: Buckets of this many classes or more are crowded.
 CROWD = 16
-#: Candidate pairs for each member of a bucket that are compared at once.
-FEW = 4
 
 
 def shape(percent: int, bins: int = 252, miss: float = 1e-5) -> tuple[int, int]:
@@ -157,12 +157,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     pool = t.keep("pool", base.join(wanted, base.doc_id.eqNullSafe(wanted.least)).select("cls", "text").mapInArrow(_sets, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles")))
     crowd = pool.join(members.where(F.col("size") >= CROWD).select("cls").distinct(), "cls", "left_semi")
     crowd = t.keep("crowd", crowd.withColumn("id", F.monotonically_increasing_id()))
-    lone = crowd.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    lone = crowd.select("cls", "id").join(lone, "id").select("cls", "lone")
+    usage = crowd.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    usage = t.keep("usage", usage)
+    lone = crowd.select("cls", "id").join(usage.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "id").select("cls", "lone")
     shared = F.col("n") - F.when(F.col("size") >= CROWD, F.coalesce("lone", F.lit(0))).otherwise(0)
     members = members.join(lone, "cls", "left").select("bucket", "cls", "size", "n", shared.alias("shared")).where(100 * F.col("shared") >= percent * F.col("n"))
     members = t.keep("members", members.withColumn("rank", F.row_number().over(by_bucket.orderBy(F.col("n") - F.col("shared"), "cls"))))
-    labels = _linked(t, members, pool, percent)
+    labels = _linked(t, members, pool, crowd, usage, percent)
     least = classes.select("cls", "front")
     if labels is not None:
         own = least.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -177,52 +178,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *([stays.alias("stays"), "row"] if rows_too else []))
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame | None, percent: int, low: int, high: int) -> DataFrame:
-    """Pairs of a centre (ranks low to high) and a later member of a bucket that are not linked yet but might be."""
-    m = members.where((F.col("size") > low) & (F.col("rank") >= low))
-    if labels is None:
-        m = m.withColumn("label", F.col("cls"))
-    else:
-        m = m.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = m.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-        m = m.join(open_, "bucket", "left_semi")
-    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "shared", "rank", "label")]
-    centre = m.where(F.col("rank") <= high).select("bucket", *side("a"))
-    # at most the lesser count of shared shingles can be common; where even that falls short there is no link
-    most = F.least("ashared", "bshared")
-    might = (F.col("arank") < F.col("brank")) & (F.col("alabel") != F.col("blabel")) & (100 * most >= percent * (F.col("an") + F.col("bn") - most))
-    pairs = centre.join(m.select("bucket", *side("b")), "bucket").where(might)
-    return pairs.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"), (F.col("an") + F.col("bn")).alias("both_n"))
+def _pairs(of: DataFrame, on: str, low: str, columns: tuple[str, ...], might) -> DataFrame:
+    """Pairs (a < b, both_n) of rows that meet on a column, the first of them chosen by ``low``, where ``might`` holds."""
+    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in columns]
+    met = of.where(low).select(on, *side("a")).join(of.select(on, *side("b")), on).where(might)
+    return met.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"), (F.col("an") + F.col("bn")).alias("both_n"))
+
 
+def _confirmed(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are as similar as asked."""
+    one = pool.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
+    two = pool.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", both)
+    return met.where(100 * F.col("both") >= percent * (F.col("both_n") - F.col("both"))).select("a", "b")
 
-def _linked(t: Tables, members: DataFrame, pool: DataFrame, percent: int) -> DataFrame | None:
+
+def _linked(t: Tables, members: DataFrame, pool: DataFrame, crowd: DataFrame, usage: DataFrame, percent: int) -> DataFrame | None:
     """Component label of every class that has a link; None if there is no link at all."""
-    state = members.agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("rows")).first()
-    largest, linear = state["largest"] or 0, FEW * (state["rows"] or 0)
-    tried: DataFrame | None = None
-    labels: DataFrame | None = None
-    low, high, step = 1, 1, 0
-    while low < largest:
-        step += 1
-        pairs = _open_pairs(members, labels, percent, low, high)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = t.keep(f"pairs{step}", pairs.distinct())
-        if not pairs.isEmpty():
-            one = pool.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-            two = pool.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-            both = F.size(F.array_intersect("sa", "sb"))
-            true = pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("both_n") - F.col("both"))).select("a", "b")
-            true = t.keep(f"links{step}", true)
-            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-            if not true.isEmpty():
-                edges = true if labels is None else true.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")))
-                labels = t.keep(f"labels{step}", components(t, edges, f"{step}"))
-        low = high + 1
-        if low < largest:
-            # the rest at once if it is few pairs for each member, else twice as many centres as before
-            rest = _open_pairs(members, labels, percent, low, largest).limit(linear + 1).count()
-            if rest == 0:
-                break
-            high = largest if rest <= linear else 2 * low
-    return labels
+    # at most the lesser count of shared shingles can be common; where even that falls short there is no link
+    most, n = F.least("ashared", "bshared"), F.col("an") + F.col("bn")
+    might = 100 * most >= percent * (n - most)
+    stars = t.keep("stars", _pairs(members, "bucket", "rank = 1", ("cls", "n", "shared", "rank"), might & (F.col("brank") > 1)).distinct())
+    links = t.keep("links", _confirmed(stars, pool, percent))
+    labels = None if links.isEmpty() else t.keep("labels", components(t, links, "a"))
+
+    def labelled(df: DataFrame) -> DataFrame:
+        if labels is None:
+            return df.withColumn("label", F.col("cls"))
+        return df.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    def still_open(df: DataFrame, by: str) -> DataFrame:
+        ends = df.groupBy(by).agg(F.min("label").alias("x"), F.max("label").alias("y"))
+        return df.join(ends.where("x <> y").select(by), by, "left_semi")
+
+    apart = F.col("alabel") != F.col("blabel")
+    small = still_open(labelled(members.where(F.col("size").between(3, CROWD - 1) & (F.col("rank") > 1))), "bucket")
+    rest = _pairs(small, "bucket", "true", ("cls", "n", "shared", "rank", "label"), (F.col("arank") < F.col("brank")) & apart & might)
+    # prefix filter over crowded classes: shingles from rare to common, the first few of each class
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("c", "s"))
+    flat = crowd.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(usage.select("s", "c"), "s")
+    first = flat.withColumn("place", place).where((100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")) & (F.col("c") > 1))
+    first = still_open(labelled(first.select("s", "cls", "n", "place")), "s")
+    upto = 1 + F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
+    rest = rest.unionByName(_pairs(first, "s", "true", ("cls", "n", "place", "label"), (F.col("acls") < F.col("bcls")) & apart & ((100 + percent) * upto >= percent * n)))
+    rest = t.keep("rest", rest.distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    more = t.keep("more", _confirmed(rest, pool, percent))
+    if more.isEmpty():
+        return labels
+    edges = more if labels is None else more.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")))
+    return t.keep("all", components(t, edges, "b"))
