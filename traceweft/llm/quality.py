@@ -81,7 +81,9 @@ class ByteConv:
         z = self.combined(pooled, first)[0].astype(np.float64) @ self.out + float(self.shift[0])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 11) -> ByteConv:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 11, least_steps: int = 600) -> ByteConv:
+        """Training by Adam, in more epochs for a small sample."""
+        epochs = max(epochs, -(-least_steps * batch // max(1, len(texts))))
         rng, params = np.random.default_rng(seed), [self.tables, self.bias, self.out, self.shift]
         moments, step = [(np.zeros_like(p), np.zeros_like(p)) for p in params], 0
         weight = np.where(labels == 1, PRIOR / max(labels.mean(), 1e-9), (1 - PRIOR) / max(1 - labels.mean(), 1e-9))

@@ -100,8 +100,9 @@ class SubwordBag:
         self.softmax = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.3, seed: int = 13) -> SubwordBag:
-        """Joint training by AdaGrad; a word's n-grams are found once for the whole sample."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.3, seed: int = 13, least_steps: int = 600) -> SubwordBag:
+        """Joint training by AdaGrad, in more epochs for a small sample; a word's n-grams are found once for all of it."""
+        epochs = max(epochs, -(-least_steps // max(1, len(texts) // batch)))
         off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
         x, start, end, first = _words(np.frombuffer(b"".join(texts), np.uint8), off)
         seen: dict[bytes, int] = {}
