@@ -21,9 +21,9 @@ _RARE = "(SELECT DISTINCT l_orderkey AS id, CASE WHEN l_orderkey % 101 = 0 THEN
 _RANK = f"(SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(id::VARCHAR), id) AS r, count(*) OVER (PARTITION BY label) AS n FROM {_RARE})"
 
 
-@query("smp01_sample_keys", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5(user_id::VARCHAR), user_id LIMIT 30")
+@query("smp01_sample_keys", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5(user_id::VARCHAR), user_id LIMIT 8")
 def _(s, d):
-    return P.sample_keys(table(s, d, "events"), "user_id", 30)
+    return P.sample_keys(table(s, d, "events"), "user_id", 8)
 
 
 @query("smp02_per_label", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id::VARCHAR), event_id) AS r FROM events) WHERE r <= 40")

@@ -57,7 +57,7 @@ def read(spark: SparkSession, path: str, format: str = "auto", schema: T.StructT
 
 
 def sniff_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str:
-    """utf-8 if the beginning of the file (or of one file of the folder) is, else latin-1."""
+    """utf-8 if the beginning of the file (or of one file of the folder) is, else ISO 8859-1."""
     first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("head")).first()
     if first is None:
         return "utf-8"
@@ -66,7 +66,7 @@ def sniff_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str
         head.decode("utf-8")
     except UnicodeDecodeError as e:
         if e.start < len(head) - 4:
-            return "latin-1"
+            return "iso-8859-1"
     return "utf-8"
 
 
