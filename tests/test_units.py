@@ -234,3 +234,33 @@ def test_streams_equal_batch(spark, tmp_path):
     want = {(r.start, r.user): r.n for r in windows.windowed_counts(df, "ts", "user").collect()}
     got = {(r.start, r.user): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got and all(want[k] == n for k, n in got.items()) and len(got) >= len(want) - 3
+
+
+def test_normality_and_unit_roots(spark):
+    import numpy as np
+
+    from traceweft.operators import stats
+
+    rng = np.random.default_rng(4)
+    normal, skewed, walk = rng.standard_normal(800), rng.exponential(size=800), np.cumsum(rng.standard_normal(800))
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(normal, skewed, walk))], "i int, normal double, skewed double, walk double")
+    assert {r["column"]: r.normal for r in stats.dagostino(df, ["normal", "skewed"]).collect()} == {"normal": True, "skewed": False}
+    assert stats.anderson_darling(df, "normal").first().normal and not stats.anderson_darling(df, "skewed").first().normal
+    assert stats.dickey_fuller(df, "i", "normal").first().stationary and not stats.dickey_fuller(df, "i", "walk").first().stationary
+    x, d = walk[:-1], np.diff(walk)
+    a = np.stack([np.ones_like(x), x], axis=1)
+    beta, res, *_ = np.linalg.lstsq(a, d, rcond=None)
+    t = beta[1] / math.sqrt(res[0] / (len(x) - 2) / ((x - x.mean()) ** 2).sum())
+    assert math.isclose(stats.dickey_fuller(df, "i", "walk").first().statistic, t, rel_tol=1e-6)
+
+
+def test_tests_of_means(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.normal(0, 1, 80)] + [("b", float(x)) for x in rng.normal(0, 9, 80)] + [("c", float(x)) for x in rng.normal(8, 1, 80)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = associate.mean_test(df, "v", "g")
+    assert got["test"] == "alexander_govern" and got["p"] < 1e-9
+    same = spark.createDataFrame([(g, float(x)) for g in "ab" for x in rng.normal(0, 1, 90)], "g string, v double")
+    assert associate.mean_test(same, "v", "g")["test"] == "anova"

@@ -29,7 +29,7 @@ class Run:
     def step(self, spark: SparkSession, name: str):
         """Times a step and tags its jobs, so that they can be cancelled together by that tag."""
         began = time.time()
-        spark.addTag(name)
+        spark.sparkContext.addJobTag(name)  # the session's own tags make its models unserialisable
         try:
             yield
             state = "done"
@@ -37,7 +37,7 @@ class Run:
             state = "failed"
             raise
         finally:
-            spark.removeTag(name)
+            spark.sparkContext.removeJobTag(name)
             self.steps.append({"step": name, "seconds": time.time() - began, "state": state})
             if self.folder:
                 writers.write_report(spark, f"{self.folder}/run.json", {"steps": self.steps})
