@@ -40,7 +40,12 @@ def key_grams(key: Column) -> Column:
     return F.array_distinct(F.concat(*grams))
 
 
-def fuzzy_keys(df: DataFrame, key: str, similarity: float = 0.8, rounds: int = 20) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """A table whose lineage is cut in the shared folder, or kept in memory where the session names none."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def fuzzy_keys(df: DataFrame, key: str, similarity: float = 0.8) -> DataFrame:
     """(key, canonical): keys alike in their n-grams take one spelling, the commonest, of equals the least.
 
     Two distinct keys are alike from a Jaccard similarity of their n-grams on. Candidates share one of the
@@ -60,15 +65,14 @@ def fuzzy_keys(df: DataFrame, key: str, similarity: float = 0.8, rounds: int = 2
     one, two = grams.select(F.col("k").alias("a"), F.col("g").alias("ga")), grams.select(F.col("k").alias("b"), F.col("g").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     links = pairs.join(one, "a").join(two, "b").where(both / (F.size("ga") + F.size("gb") - both) >= similarity).select("a", "b")
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    links = _cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = counts.select("k", F.col("k").alias("label"))
-    for _ in range(rounds):
+    done = False
+    while not done:
         near = links.join(label.select(F.col("k").alias("b"), "label"), "b").groupBy(F.col("a").alias("k")).agg(F.min("label").alias("m"))
-        new = label.join(near, "k", "left").select("k", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")).persist()
+        new = _cut(label.join(near, "k", "left").select("k", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
         done = new.where("moved").isEmpty()
         label = new.select("k", "label")
-        if done:
-            break
     best = Window.partitionBy("label").orderBy(F.desc("n"), "k")
     named = label.join(counts, "k").withColumn("canonical", F.first("k").over(best))
     return named.select(F.col("k").alias("key"), "canonical")
