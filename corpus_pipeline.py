@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least doc_id, of each group of near duplicates."""
-    return near_dup.near_duplicates(docs, percent=NEAR, rows_too=True).where("stays").select("row.*")
+    return near_dup.one_of_each(docs, percent=NEAR)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,11 +75,16 @@ def test_near_duplicates_match_brute_force(spark, percent):
     assert got == want
 
 
-def test_near_duplicates_keep_one_row_of_each_group(spark):
-    out = near_dup.near_duplicates(docs(spark, corpus()), 85, rows_too=True).where("stays")
-    groups = [r for r in out.select("component_id", "n_shingles", "row.text").collect() if r.n_shingles]
-    assert len(groups) == len({(r.component_id, r.text if r.component_id is None else "") for r in groups})
-    assert {r.text for r in out.where("n_shingles = 0").select("row.text").collect()} == {None, "", " \n\t"}
+def test_one_row_of_each_group_stays(spark):
+    rows = corpus()
+    df = docs(spark, rows)
+    groups = near_dup.near_duplicates(df).select("component_id", "n_shingles").collect()
+    want = Counter(r.component_id for r in groups if r.n_shingles)
+    got = near_dup.one_of_each(df, 85)
+    assert got.columns == df.columns
+    left = [r for r in got.collect() if shingles(r.text)]
+    assert Counter(r.doc_id for r in left) == Counter(dict.fromkeys(want, 1))
+    assert len([r for r in got.collect() if not shingles(r.text)]) == sum(not r.n_shingles for r in groups)
 
 
 def test_crowded_buckets_lose_no_link(spark):
@@ -303,5 +308,5 @@ def test_host_prior_decides_what_the_text_leaves_open(spark):
 def test_empty_tables(spark, model):
     none = docs(spark, []).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
     bench = spark.createDataFrame([], "item_id long, text string")
-    for df in (near_dup.near_duplicates(none), near_dup.near_duplicates(none, rows_too=True), substring.remove_repeats(none), substring.remove_repeats(none, rows_too=True), decontam.contaminated(none, bench), decontam.contaminated(docs(spark, [(1, "a b")]), bench), unigram.encoded(none, model), langid.identify(none)):
+    for df in (near_dup.near_duplicates(none), near_dup.one_of_each(none), substring.remove_repeats(none), substring.remove_repeats(none, rows_too=True), decontam.contaminated(none, bench), decontam.contaminated(docs(spark, [(1, "a b")]), bench), unigram.encoded(none, model), langid.identify(none)):
         assert df.collect() == []

@@ -88,7 +88,8 @@ def _scored(model: TextModel):
             rest = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
             flat = pa.array(logs.ravel())
             ends = np.arange(0, flat.__len__() + 1, max(1, len(model.languages)), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(ends, flat), pa.array(letters)], names=["doc_id", "host", "suffix", "declared", "row", "logs", "letters"])
+            names = [name for name in b.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(ends, flat), pa.array(letters)], names=[*names, "logs", "letters"])
 
     return run
 
@@ -117,18 +118,23 @@ def identify(
     langs = model.languages
     address = F.lower(F.coalesce(F.col(host).cast("string"), F.lit(""))) if host else F.lit("")
     name = F.regexp_extract(F.regexp_replace(address, r"^[a-z][a-z0-9+.-]*://", ""), r"^([^/?#:]*)", 1)
-    base = docs.select(
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(doc_id).alias("doc_id"),
         F.nullif(name, F.lit("")).alias("host"),
         F.regexp_extract(name, r"\.([a-z]+)$", 1).alias("suffix"),
         F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(text).cast("string"), F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1)), F.lit("")).alias("declared"),
-        (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if rows_too else F.lit(None).cast("string")).alias("row"),
         F.col(text).cast("string").alias("text"),
     )
+    more = ["row"] if rows_too else []
+    base = named.drop("row")
+    whole = named if rows_too else base
     if not langs:
-        return base.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), "declared", F.lit(False).alias("accepted"), "row").select("doc_id", "lang", "probability", "declared", "accepted", *(["row"] if rows_too else []))
-    kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    first = t.keep("first", base.mapInArrow(_scored(model), f"doc_id {kinds['doc_id']}, host string, suffix string, declared string, row {kinds['row']}, logs array<double>, letters boolean"))
+        return whole.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), "declared", F.lit(False).alias("accepted"), *more)
+    score = lambda df: df.mapInArrow(_scored(model), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "text") + ", logs array<double>, letters boolean")
+    first = t.keep("first", score(base))
+    # with rows the texts are scored again in the end, which takes no disk; a table of whole texts would
+    final = score(whole) if rows_too else first
     n = len(langs)
     each = range(n)
     tell = lambda c, right: [F.when(c.isin(langs), F.when(c == x, right).otherwise((1 - right) / max(1, n - 1))).otherwise(F.lit(1.0)) for x in langs]
@@ -136,14 +142,14 @@ def identify(
     for s, lang in SUFFIXES.items():
         suffix = F.when(F.col("suffix") == s, lang).otherwise(suffix)
     said, sited = tell(F.col("declared"), DECLARED_RIGHT), tell(suffix, SUFFIX_RIGHT)
-    weighed = first.withColumn("logs", F.array(*[F.get("logs", k) + F.log(said[k]) + F.log(sited[k]) for k in each]))
+    weighed = lambda df: df.withColumn("logs", F.array(*[F.get("logs", k) + F.log(said[k]) + F.log(sited[k]) for k in each]))
 
     def posterior(logs):
         top = F.array_max(logs)
         exps = F.transform(logs, lambda x: F.exp(x - top))
         return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, y: a + y))
 
-    share = weighed.where("letters").withColumn("p", posterior(F.col("logs")))
+    share = weighed(first).where("letters").withColumn("p", posterior(F.col("logs")))
     parent = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     hosts = share.groupBy("host").agg(*[F.sum(F.get("p", k)).alias(f"s{k}") for k in each], F.count(F.lit(1)).alias("c")).withColumn("domain", parent)
     hosts = t.keep("hosts", hosts)
@@ -151,11 +157,11 @@ def identify(
     domains = hosts.groupBy("domain").agg(*[F.sum(f"s{k}").alias(f"d{k}") for k in each], F.sum("c").alias("dc"))
     up = domains.join(F.broadcast(world)).select("domain", *[((F.col(f"d{k}") + LEAN * F.col(f"w{k}")) / (F.col("dc") + LEAN)).alias(f"m{k}") for k in each])
     prior = hosts.join(up, "domain").select("host", F.array(*[F.log((F.col(f"s{k}") + LEAN * F.col(f"m{k}")) / (F.col("c") + LEAN)) for k in each]).alias("prior"))
-    fused = weighed.join(prior.where("host is not null"), "host", "left").join(F.broadcast(world.select(F.array(*[F.log(f"w{k}") for k in each]).alias("anywhere"))))
+    fused = weighed(final).join(prior.where("host is not null"), "host", "left").join(F.broadcast(world.select(F.array(*[F.log(f"w{k}") for k in each]).alias("anywhere"))))
     fused = fused.withColumn("p", posterior(F.zip_with("logs", F.coalesce("prior", "anywhere"), lambda a, b: a + b)))
     best = F.array_max("p")
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("p", best).cast("int"))
     sure = F.col("letters") & (F.col("probability") >= least)
-    out = fused.select("doc_id", "declared", "letters", "row", best.alias("probability"), lang.alias("lang"))
+    out = fused.select("doc_id", "declared", "letters", *more, best.alias("probability"), lang.alias("lang"))
     ok = sure & F.col("lang").isin(wanted) if wanted is not None else sure
-    return out.select("doc_id", F.when(sure, F.col("lang")).alias("lang"), "probability", "declared", ok.alias("accepted"), *(["row"] if rows_too else []))
+    return out.select("doc_id", F.when(sure, F.col("lang")).alias("lang"), "probability", "declared", ok.alias("accepted"), *more)

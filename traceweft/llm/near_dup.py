@@ -106,21 +106,27 @@ def _sketcher(bands: int, rows: int):
                 if len(s):
                     sig[i] = sketch.signature(s)
             keys = sketch.keys(sig)
-            rest = [b.column(i) for i, name in enumerate(b.schema.names) if name == "row"]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel())),
-                    *rest,
                 ],
-                names=["doc_id", "n_shingles", "cls", "keys", *(["row"] if rest else [])],
+                names=["doc_id", "n_shingles", "cls", "keys"],
             )
 
     return run
 
 
+def _classes(batches):
+    """The class of each row, beside the row."""
+    for b in batches:
+        sets = shingle_sets(b.column("text"))
+        cls = pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), cls, b.column("row")], names=["doc_id", "n_shingles", "cls", "row"])
+
+
 def _sets(batches):
     for b in batches:
         sets, cls = shingle_sets(b.column("text")), b.column("cls").to_pylist()
@@ -130,25 +136,47 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in same], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["cls", "shingles"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id", rows_too: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Groups documents linked by chains of pairs with 100 * |A & B| >= percent * |A | B|.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id),
     one row for each input row. A null or wordless text has an empty set and stands alone. Rows that repeat
     a doc_id are compared as they are; rows without a doc_id take part, but have the id null and aren't kept
-    unless they stand alone. Other columns of the input are ignored, whatever their names. An empty table
-    gives an empty result. With ``rows_too`` also row (the input row) and stays, which is true for exactly one
-    input row of each group, even where rows repeat, and for every row that stands alone.
+    unless their text is empty. Other columns of the input are ignored, whatever their names. An empty table
+    gives an empty result.
     """
+    seen, least = _grouped(docs, percent, text, doc_id)
+    component = F.coalesce("component_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.col("cls").isNull(), F.lit(False))
+    return seen.drop("keys").join(least, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The input rows that stay when each group of near duplicates keeps one: a row of the least doc_id.
+
+    Groups are those of ``near_duplicates``. A group none of whose rows has a doc_id keeps one of them; where
+    the row that stays is repeated, one copy does. Rows with an empty set all stay. Columns are the input's.
+    """
+    _, least = _grouped(docs, percent, text, doc_id)
+    leads = least.where("cls = lead").select(F.col("cls").alias("lead"), "component_id")
+    # rows meet their class again from the texts themselves; a table of whole texts would take the disk of the input
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = whole.mapInArrow(_classes, f"doc_id long, n_shingles long, cls binary, row {whole.schema['row'].dataType.simpleString()}")
+    # the id is part of the key, so that copies of one hot text spread
+    met = found.join(leads, (F.col("cls") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left").where("lead is not null or n_shingles = 0")
+    turn = F.row_number().over(Window.partitionBy("cls", "doc_id").orderBy("n_shingles"))
+    return met.withColumn("turn", turn).where("turn = 1 or n_shingles = 0").select("row.*")
+
+
+def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, cls, keys), and for each class its component_id and the class that leads its group."""
     spark = docs.sparkSession
     small_batches(spark)
     t = Tables(spark, "near-dup")
     bands, rows = shape(percent)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows_too else []))
-    more = f", row {base.schema['row'].dataType.simpleString()}" if rows_too else ""
-    seen = t.keep("sketches", base.mapInArrow(_sketcher(bands, rows), f"doc_id long, n_shingles long, cls binary, keys array<long>{more}").withColumn("uid", F.monotonically_increasing_id()))
-    base = base.select("doc_id", "text")
-    front = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")  # the row that stands for its class
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    seen = t.keep("sketches", base.mapInArrow(_sketcher(bands, rows), "doc_id long, n_shingles long, cls binary, keys array<long>"))
+    front = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")  # of the rows that stand for a class the first one
     classes = t.keep("classes", seen.where("cls is not null").groupBy("cls").agg(F.min(front).alias("front"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")).withColumn("least", F.col("front.doc_id")))
     ranked = classes.select("cls", "n", F.explode("keys").alias("bucket"))
     by_bucket = Window.partitionBy("bucket")
@@ -167,15 +195,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     least = classes.select("cls", "front")
     if labels is not None:
         own = least.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        first = own.groupBy("label").agg(F.min("front").alias("first"))
-        least = own.join(first, "label").select("cls", "first")
+        first = own.groupBy("label").agg(F.min(F.struct("front", "cls")).alias("first"))
+        least = own.join(first, "label").select("cls", "first.front.doc_id", F.col("first.cls").alias("lead"))
     else:
-        least = least.withColumnRenamed("front", "first")
-    out = seen.drop("keys").join(least, "cls", "left")
-    component = F.coalesce("first.doc_id", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == component, F.col("cls").isNull(), F.lit(False))
-    stays = F.col("cls").isNull() | (F.col("uid") == F.col("first.uid"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *([stays.alias("stays"), "row"] if rows_too else []))
+        least = least.select("cls", "front.doc_id", F.col("cls").alias("lead"))
+    least = t.keep("least", least.withColumnRenamed("doc_id", "component_id"))
+    t.drop(*[name for name in t.at if name not in ("least", "sketches")])
+    t.settle()
+    return seen, least
 
 
 def _pairs(of: DataFrame, on: str, low: str, columns: tuple[str, ...], might) -> DataFrame:

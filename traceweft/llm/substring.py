@@ -151,7 +151,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         seen = whole.mapInArrow(_anchors, f"row {whole.schema['row'].dataType.simpleString()}, {scan}").drop("anchors")
     else:
         seen = scanned.select("doc_id", "n_words", "seq", "sha")
-    seen = t.keep("rows", seen)
     # one row for each sequence of words: that of its least doc_id
     first = scanned.where(f"doc_id is not null and n_words >= {LENGTH}").groupBy("seq").agg(F.min_by("anchors", "doc_id").alias("anchors"), F.min("doc_id").alias("doc_id"))
     first = t.keep("first", first.withColumn("uid", F.monotonically_increasing_id()))
@@ -169,9 +168,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     t.settle()
     cut = met.select("doc_id", "seq", "uid", "text").join(starts, "uid").mapInArrow(_cut, "doc_id long, seq binary, n_removed long, kept_sha256 string, kept_text string")
     cut = t.keep("cut", cut.dropDuplicates(["seq"]))
-    t.drop("met", "starts", "places")
+    found = t.keep("found", first.select("seq", F.col("doc_id").alias("least")).join(cut.drop("doc_id"), "seq", "left"))
+    t.drop("met", "starts", "places", "first", "cut")
     t.settle()
-    done = seen.join(first.select("seq", F.col("doc_id").alias("least")).join(cut.drop("doc_id"), "seq", "left"), "seq", "left")
+    done = seen.join(found, "seq", "left")  # the texts are read once more for this
     copy, own = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)), F.coalesce(F.col("least") == F.col("doc_id"), F.lit(False))
     cols = [
         "doc_id",
