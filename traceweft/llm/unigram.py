@@ -7,7 +7,8 @@ put in front. Characters that no piece covers cost the least score minus 10 and
 marker that stands in the text itself is always spelled in bytes, so that decoding gives back every text.
 
 No piece has a marker after another character, and characters that are in no longer piece stand alone. Text
-is cut at both, which cannot change the best path, and each distinct part is solved once per worker.
+is cut at both, and between characters that no piece has in a row, which cannot change the best path; each
+distinct part is solved once per worker while it remembers it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ MARK = "▁"
 #: The library's penalty for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
 #: Distinct parts that a worker keeps solved.
-SOLVED = 300_000
+SOLVED = 500_000
 
 
 class DoubleArray:
@@ -121,11 +122,32 @@ class Codec:
         late = any(re.search(f"[^{MARK}]{MARK}", model.pieces[i]) for i in ids)
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
         self.parts = re.compile("(?s).+" if late else f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.bigrams = {model.pieces[i][k : k + 2] for i in ids for k in range(len(model.pieces[i]) - 1)}
         self.spell = np.full(len(model.pieces), -1, np.int64)
         self.spell[model.byte_ids] = np.arange(256)
         self.out = [bytes([self.spell[i]]) if self.spell[i] >= 0 else p.replace(MARK, " ").encode() if model.normal[i] else b"" for i, p in enumerate(model.pieces)]
         self.solved: dict[str, bytes] = {}
 
+    def solve(self, part: str) -> bytes:
+        """Ids of a part, put together from runs that no piece can cross: between them stand two characters that no piece has in a row."""
+        a, out, bigrams, solved = 0, [], self.bigrams, self.solved
+        for b in range(1, len(part) + 1):
+            if b == len(part) or part[b - 1 : b + 1] not in bigrams:
+                run = part[a:b]
+                found = solved.get(run)
+                if found is None:
+                    found = np.array(self.best(run), np.int32).tobytes()
+                    self.keep(run, found)
+                out.append(found)
+                a = b
+        return b"".join(out)
+
+    def keep(self, part: str, found: bytes) -> None:
+        if len(part) <= 64:
+            if len(self.solved) >= SOLVED:
+                self.solved.clear()
+            self.solved[part] = found
+
     def best(self, part: str) -> list[int]:
         """Viterbi: the path of highest score; of equal paths the one found first, longer last pieces first."""
         b = part.encode()
@@ -172,11 +194,8 @@ class Codec:
             for part in self.parts.findall(marked if k else MARK + marked):
                 found = solved.get(part)
                 if found is None:
-                    found = np.array(self.best(part), np.int32).tobytes()
-                    if len(part) <= 64:
-                        if len(solved) >= SOLVED:
-                            solved.clear()
-                        solved[part] = found
+                    found = self.solve(part)
+                    self.keep(part, found)
                 out.append(found)
         return np.frombuffer(b"".join(out), np.int32)
 
