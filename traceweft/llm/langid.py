@@ -28,6 +28,8 @@ TEMPER = 24.0
 LEAN = 20.0
 #: Chance that declared mark-up, or an address suffix, tells the true language.
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.7
+#: Most hosts whose priors are broadcast.
+BROADCAST_HOSTS = 100_000
 #: Country suffixes with one main language.
 SUFFIXES = {"de": "de", "at": "de", "li": "de", "fr": "fr", "mc": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
@@ -157,7 +159,9 @@ def identify(
     domains = hosts.groupBy("domain").agg(*[F.sum(f"s{k}").alias(f"d{k}") for k in each], F.sum("c").alias("dc"))
     up = domains.join(F.broadcast(world)).select("domain", *[((F.col(f"d{k}") + LEAN * F.col(f"w{k}")) / (F.col("dc") + LEAN)).alias(f"m{k}") for k in each])
     prior = hosts.join(up, "domain").select("host", F.array(*[F.log((F.col(f"s{k}") + LEAN * F.col(f"m{k}")) / (F.col("c") + LEAN)) for k in each]).alias("prior"))
-    fused = weighed(final).join(prior.where("host is not null"), "host", "left").join(F.broadcast(world.select(F.array(*[F.log(f"w{k}") for k in each]).alias("anywhere"))))
+    # few hosts reach every task whole; many meet the documents in a join, whose hot keys Spark splits
+    hint = F.broadcast if hosts.count() <= BROADCAST_HOSTS else (lambda df: df)
+    fused = weighed(final).join(hint(prior.where("host is not null")), "host", "left").join(F.broadcast(world.select(F.array(*[F.log(f"w{k}") for k in each]).alias("anywhere"))))
     fused = fused.withColumn("p", posterior(F.zip_with("logs", F.coalesce("prior", "anywhere"), lambda a, b: a + b)))
     best = F.array_max("p")
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("p", best).cast("int"))
