@@ -310,3 +310,18 @@ def test_empty_tables(spark, model):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (near_dup.near_duplicates(none), near_dup.one_of_each(none), substring.remove_repeats(none), substring.remove_repeats(none, rows_too=True), decontam.contaminated(none, bench), decontam.contaminated(docs(spark, [(1, "a b")]), bench), unigram.encoded(none, model), langid.identify(none)):
         assert df.collect() == []
+
+
+def test_texts_of_no_trained_language_are_rejected(spark):
+    rng = random.Random(8)
+    parts = {"xx": ["bal", "kor", "tun", "mek"], "yy": ["ée", "oui", "lle", "nça"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text("yy" if i % 20 == 0 else "xx", rng.randint(3, 60)), "yy" if i % 20 == 0 else "xx") for i in range(200)]
+    new = [(1000 + i, text("xx" if i % 2 else "yy", 20), None) for i in range(20)]
+    strange = ["今天天气很好，我们去公园散步，然后回家吃饭。", "Сегодня хорошая погода, и мы идём гулять в парк.", "Dzisiaj jest ładna pogoda, więc idziemy na spacer.", "Tänään on kaunis ilma ja menemme puistoon."]
+    strange += ["".join(rng.choice("ABCDEFGHabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200)) for _ in range(3)]
+    df = spark.createDataFrame(rows + new + [(2000 + i, t, None) for i, t in enumerate(strange)], "doc_id long, text string, lang string").withColumn("source", F.lit("one.host"))
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert all(got[i].accepted and got[i].lang == lang for i, _, lang in rows)
+    assert all(got[i].accepted and got[i].lang == ("xx" if i % 2 else "yy") for i, _, _ in new)
+    assert not any(got[2000 + i].accepted or got[2000 + i].lang for i in range(len(strange)))

@@ -6,6 +6,10 @@ mark-up, the suffix of its address, and its host. The host's prior is smoothed h
 shares of a host, from a first pass over all texts and summed by grouped aggregation, lean on those of its
 registered domain, these on the whole corpus, each as strongly as a set number of documents.
 
+A class for all other texts competes with the languages. Its likelihood is the least that texts of the best
+language have: scored without their own counts, the training rows of each language give the mean score and how
+its variance falls with length, and the floor lies FLOOR deviations below the mean.
+
 A document is rejected where no language reaches the asked probability, where its text has no letters, or
 where the best language is not wanted.
 """
@@ -24,6 +28,8 @@ from traceweft.llm.words import buffer_of
 BINS = 1 << 16
 #: Independent observations that a text counts as at most: more trigrams only sharpen their mean.
 TEMPER = 24.0
+#: Deviations below a language's mean score at which another language or junk is as likely.
+FLOOR = 5.0
 #: Documents that a parent's shares weigh as in a host's prior.
 LEAN = 20.0
 #: Chance that declared mark-up, or an address suffix, tells the true language.
@@ -47,39 +53,67 @@ def trigram_bins(buf: np.ndarray) -> np.ndarray:
     return ((h * np.uint32(0x27D4EB2F)) >> np.uint32(16)).astype(np.int64)
 
 
+def _bins_of(text: str) -> np.ndarray:
+    return trigram_bins(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+
+
+def _spread(scores: np.ndarray) -> np.ndarray:
+    """Of (mean log probability, its variance over the trigrams, number of trigrams) rows: the mean, the variance between rows, and that of a trigram's part."""
+    if not len(scores):
+        return np.array([-np.log(BINS), 0.0, 0.0])
+    score, each, count = scores.T
+    mean = np.average(score, weights=np.minimum(count, TEMPER))
+    # trigrams overlap by three, so a third of them are independent
+    within = 3 * np.average(each, weights=count)
+    return np.array([mean, max(0.0, np.average((score - mean) ** 2 - within / count, weights=np.minimum(count, TEMPER))), within])
+
+
 class TextModel:
-    """Log probability of each trigram bin under each language, as gain over the corpus as a whole."""
+    """Log probability of each trigram bin under each language, and the scores that its texts have at least."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        p = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
+    def __init__(self, languages: list[str], counts: np.ndarray, spread: np.ndarray):
         self.languages = languages
-        self.gain = (np.log(p) - np.log(p.mean(axis=0))).astype(np.float32)
+        self.logs = np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)).astype(np.float32)
+        self.spread = spread
 
     @staticmethod
     def fit(texts: list[str], langs: list[str]) -> TextModel:
         languages = sorted(set(langs))
         counts = np.zeros((len(languages), BINS))
         for text, lang in zip(texts, langs):
-            bins = trigram_bins(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
-            counts[languages.index(lang)] += np.bincount(bins, minlength=BINS)
-        return TextModel(languages, counts)
+            counts[languages.index(lang)] += np.bincount(_bins_of(text), minlength=BINS)
+        scores = [[] for _ in languages]
+        for text, lang in zip(texts, langs):
+            bins, k = _bins_of(text), languages.index(lang)
+            if len(bins):
+                own = np.bincount(bins, minlength=BINS)
+                rest = counts[k].sum() - len(bins) + 0.5 * BINS
+                logs = np.log((counts[k][bins] - own[bins] + 0.5) / rest)
+                scores[k].append((logs.mean(), logs.var(), len(bins)))
+        return TextModel(languages, counts, np.array([_spread(np.array(x).reshape(-1, 3)) for x in scores]).reshape(-1, 3))
+
+    def floor(self, k: int, count: int) -> float:
+        mean, between, within = self.spread[k]
+        return mean - FLOOR * np.sqrt(between + within / count)
 
     def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Tempered log likelihoods of each text, and whether it has any letter."""
+        """Tempered log likelihoods of each text, last that of all other texts, and whether it has any letter."""
         buf, off = buffer_of(column)
         n = len(off) - 1
         letter = ((buf | 32) >= 97) & ((buf | 32) <= 122) | (buf >= 0x80)
         total = np.concatenate([[0], np.cumsum(letter)])
         letters = total[off[1:]] - total[off[:-1]]
-        out = np.zeros((n, len(self.languages)))
+        out = np.zeros((n, len(self.languages) + 1))
         for d in range(n):
             sums, count = np.zeros(len(self.languages)), 0
             for lo in range(int(off[d]), int(off[d + 1]), 1 << 20):
                 bins = trigram_bins(buf[lo : min(int(off[d + 1]), lo + (1 << 20) + 2)])
-                sums += [g[bins].sum(dtype=np.float64) for g in self.gain]
+                sums += [g[bins].sum(dtype=np.float64) for g in self.logs]
                 count += len(bins)
             if count:
-                out[d] = sums / count * min(count, TEMPER)
+                out[d, :-1] = sums / count
+                out[d, -1] = self.floor(int(sums.argmax()), count)
+                out[d] *= min(count, TEMPER)
         return out, letters > 0
 
 
@@ -89,7 +123,7 @@ def _scored(model: TextModel):
             logs, letters = model.likelihoods(b.column("text"))
             rest = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
             flat = pa.array(logs.ravel())
-            ends = np.arange(0, flat.__len__() + 1, max(1, len(model.languages)), dtype=np.int32)
+            ends = np.arange(0, flat.__len__() + 1, len(model.languages) + 1, dtype=np.int32)
             names = [name for name in b.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(ends, flat), pa.array(letters)], names=[*names, "logs", "letters"])
 
@@ -105,7 +139,8 @@ def identify(
     The text model is fitted on about ``sample_rows`` rows of ``training`` (by default ``docs``) that carry a
     ``label``; labels are no evidence afterwards. ``host`` names a column with a host, an address or any name of
     a source. Returns doc_id, lang (null where rejected for want of evidence), probability, declared (by the
-    text's mark-up), accepted. A null, empty or letterless text is rejected whatever its host; null hosts share
+    text's mark-up), accepted. A text whose trigrams are as rare as no training text's of its best language is
+    rejected as another language or junk. Tags of a text that declares its language are no evidence. A null, empty or letterless text is rejected whatever its host; null hosts share
     the corpus prior; with no labelled row at all nothing is accepted. Equal probabilities go to the language
     that sorts first. Rows stand for themselves, repeated or not; an empty table gives an empty result; other
     columns are ignored. With ``rows_too`` the input row comes along as ``row``.
@@ -127,7 +162,7 @@ def identify(
         F.regexp_extract(name, r"\.([a-z]+)$", 1).alias("suffix"),
         F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(text).cast("string"), F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1)), F.lit("")).alias("declared"),
         F.col(text).cast("string").alias("text"),
-    )
+    ).withColumn("text", F.when(F.col("declared").isNotNull(), F.regexp_replace("text", r"<[^<>]*>", " ")).otherwise(F.col("text")))
     more = ["row"] if rows_too else []
     base = named.drop("row")
     whole = named if rows_too else base
@@ -137,9 +172,9 @@ def identify(
     first = t.keep("first", score(base))
     # with rows the texts are scored again in the end, which takes no disk; a table of whole texts would
     final = score(whole) if rows_too else first
-    n = len(langs)
+    n = len(langs) + 1  # the last class is for all other texts
     each = range(n)
-    tell = lambda c, right: [F.when(c.isin(langs), F.when(c == x, right).otherwise((1 - right) / max(1, n - 1))).otherwise(F.lit(1.0)) for x in langs]
+    tell = lambda c, right: [F.when(c.isin(langs), F.when(c == x, right).otherwise((1 - right) / (n - 1))).otherwise(F.lit(1.0)) for x in [*langs, ""]]
     suffix = F.lit(None).cast("string")
     for s, lang in SUFFIXES.items():
         suffix = F.when(F.col("suffix") == s, lang).otherwise(suffix)
@@ -163,8 +198,8 @@ def identify(
     hint = F.broadcast if hosts.count() <= BROADCAST_HOSTS else (lambda df: df)
     fused = weighed(final).join(hint(prior.where("host is not null")), "host", "left").join(F.broadcast(world.select(F.array(*[F.log(f"w{k}") for k in each]).alias("anywhere"))))
     fused = fused.withColumn("p", posterior(F.zip_with("logs", F.coalesce("prior", "anywhere"), lambda a, b: a + b)))
-    best = F.array_max("p")
-    lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("p", best).cast("int"))
+    best = F.array_max(F.slice("p", 1, n - 1))
+    lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(F.slice("p", 1, n - 1), best).cast("int"))
     sure = F.col("letters") & (F.col("probability") >= least)
     out = fused.select("doc_id", "declared", "letters", *more, best.alias("probability"), lang.alias("lang"))
     ok = sure & F.col("lang").isin(wanted) if wanted is not None else sure
