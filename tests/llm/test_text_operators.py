@@ -325,3 +325,22 @@ def test_texts_of_no_trained_language_are_rejected(spark):
     assert all(got[i].accepted and got[i].lang == lang for i, _, lang in rows)
     assert all(got[i].accepted and got[i].lang == ("xx" if i % 2 else "yy") for i, _, _ in new)
     assert not any(got[2000 + i].accepted or got[2000 + i].lang for i in range(len(strange)))
+
+
+def test_decontamination_tries_every_start(spark):
+    """Edits at both ends and an insertion between them: the best window starts at no shared shingle's place."""
+    item = [f"k{i}" for i in range(100)]
+    body = ["x1", "x2", "x3", *item[3:50], *[f"n{i}" for i in range(6)], *item[50:97], "y1", "y2", "y3"]
+    rng = random.Random(5)
+    rows = [(0, " ".join(body)), (1, " ".join(body[20:80])), (2, " ".join(["a"] * 300)), (3, " ".join(["b", *item[:90]]))]
+    for i in range(40):
+        w = list(item)
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(w))
+            w[k:k] = [f"z{rng.randrange(10**6)}" for _ in range(rng.randint(0, 8))]
+        rows.append((10 + i, " ".join([f"u{rng.randrange(9)}" for _ in range(rng.randint(0, 30))] + w[rng.randint(0, 8) : len(w) - rng.randint(0, 8)])))
+    items = [(0, " ".join(item)), (1, "a a a a a a a a a a a a")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks(rows, items)
+    assert (0, 0) in want and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)

@@ -1,8 +1,9 @@
 """Benchmark decontamination with SimHash windows, in DataFrame and SQL functions only.
 
 Words are maximal runs of letters and digits, lower-cased. A document's windows have the size of an item and
-are taken where window and item can have anything in common: where a 5-word shingle of the document is also
-one of the item, the window starts as far before it as the item does. Each window and each item gets a 64-bit
+start wherever the window can be as similar as asked: at similarity t it holds at least t times as many places
+of the item's 5-word shingles as the item has shingles, so all starts whose window spans so many consecutive
+places are taken, and no other start can do. Each window and each item gets a 64-bit
 SimHash of its shingles. Fingerprints are cut in 8 blocks of 8 bits and indexed under every key within 2
 flipped bits of each block of an item; two fingerprints up to 23 bits apart differ in at most 2 bits of some
 block, so the index returns all of them. Candidates within the radius are verified by the exact similarity
@@ -85,14 +86,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     hint = F.broadcast if (state[0] or 0) * BLOCKS * len(_near_keys()) // WIDTH <= BROADCAST_ROWS else (lambda df: df)
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # which windows: by the place of a shared shingle in the document and in the item
-    known = hint(items.select("size", F.posexplode("sh").alias("offset", "h")).distinct())
+    # which windows: every start whose window has enough places of the item's shingles
+    known = hint(items.select("item_id", "size", F.size("sh").alias("m"), F.explode(F.array_distinct("sh")).alias("h")))
     w = base.select("doc_id", words(F.col("text")).alias("w"))
     places = w.select("doc_id", F.posexplode(shingles(F.col("w"))).alias("at", "h"))
     for n in sorted(state[1]):  # at most four sizes
         runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n), F.lit(-1)))  # noqa: B023
         places = places.unionByName(w.where(F.size("w") >= n).select("doc_id", F.posexplode(runs).alias("at", "h")))
-    spans = places.join(known, "h").select("doc_id", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start"), "size").distinct()
+    need = F.greatest(F.ceil(F.col("m") * similarity - 1e-9).cast("int"), F.lit(1))
+    hits = places.join(known, "h").groupBy("doc_id", "item_id", "size", "m").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumn("need", need).where(F.size("at") >= F.col("need"))
+    last = lambda i: F.get("at", i + F.col("need") - 1)
+    starts = lambda i: F.when(last(i) - F.get("at", i) < F.col("m"), F.sequence(F.greatest(last(i) - F.col("m") + 1, F.lit(0)), F.get("at", i))).otherwise(F.array().cast("array<int>"))
+    spans = hits.select("doc_id", "size", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), starts)))).alias("start")).distinct()
     spans = t.keep("spans", spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
 
     # the windows themselves, each with its own slice of the document's shingles
