@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from traceweft.functions import special
-from traceweft.operators import aggregates, associate, balance, columns, dedup, encode, filters, joins, models, profile, sampling
+from traceweft.operators import aggregates, associate, balance, columns, dedup, encode, filters, joins, models, profile, sampling, stats
 from traceweft.plans import pipeline
 from traceweft.sources import readers, writers
 
@@ -264,3 +264,15 @@ def test_tests_of_means(spark):
     assert got["test"] == "alexander_govern" and got["p"] < 1e-9
     same = spark.createDataFrame([(g, float(x)) for g in "ab" for x in rng.normal(0, 1, 90)], "g string, v double")
     assert associate.mean_test(same, "v", "g")["test"] == "anova"
+
+
+def test_kendall_of_many_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1500, 5000)
+    y = x * 2 + rng.integers(0, 6000, 5000)
+    a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())
+    df = spark.createDataFrame([(int(i), float(j)) for i, j in zip(x, y)] + [(None, 1.0)], "x long, y double")
+    assert math.isclose(stats.kendall(df, "x", "y").first().tau, want, rel_tol=1e-9)

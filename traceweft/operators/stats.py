@@ -96,14 +96,27 @@ def spearman_pairs(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     return correlation_pairs(ranked(df, columns, row_id), columns)
 
 
-def kendall(df: DataFrame, x: str, y: str, bins_at_most: int = 2000) -> DataFrame:
-    """Kendall's tau-b from the table of counts of value pairs; exact, for columns of few values (bin others first)."""
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b, exact for any number of values.
+
+    Two ranks of x first differ at one bit; at each bit, those with equal higher bits meet in a group, and counts
+    below each value of y score them. Groups add up in blocks of ranks, so that no task holds a whole column.
+    """
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    if cells.limit(bins_at_most + 1).count() > bins_at_most:
-        raise ValueError("too many value pairs: bin the columns first")
-    a, b = cells.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n").alias("n1")), cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    pairs = a.join(F.broadcast(b), (F.col("x1") < F.col("x2")) & (F.col("y1") != F.col("y2")))
-    score = pairs.agg(F.sum(F.when(F.col("y1") < F.col("y2"), F.col("n1") * F.col("n2")).otherwise(-F.col("n1") * F.col("n2"))).alias("s"))
+    place = lambda c: cells.select(c).distinct().select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias(f"r{c}"))
+    px, py = place("x"), place("y")
+    bits = max((px.agg(F.max("rx")).first()[0] or 0).bit_length(), 1)
+    placed = cells.join(px, "x").join(py, "y").withColumn("bit", F.explode(F.array(*[F.lit(b) for b in range(bits)])))
+    group = ["bit", "g"]
+    side = F.expr("shiftright(rx, bit) & 1")
+    sums = placed.groupBy("bit", F.expr("shiftright(rx, bit + 1)").alias("g"), "ry").agg(F.sum(F.when(side == 0, F.col("n")).otherwise(0.0)).alias("l"), F.sum(F.when(side == 1, F.col("n")).otherwise(0.0)).alias("r"))
+    sums = sums.withColumn("block", F.shiftright("ry", 12))
+    whole = Window.partitionBy(*group)
+    blocks = sums.groupBy(*group, "block").agg(F.sum("l").alias("bl"))
+    blocks = blocks.select(*group, "block", F.sum("bl").over(whole).alias("all"), (F.sum("bl").over(whole.orderBy("block")) - F.col("bl")).alias("before"))
+    under = F.sum("l").over(Window.partitionBy(*group, "block").orderBy("ry")) - F.col("l")
+    pairs = sums.withColumn("under", under).join(blocks, [*group, "block"])
+    score = pairs.agg(F.sum(F.col("r") * (2 * (F.col("before") + F.col("under")) + F.col("l") - F.col("all"))).alias("s"))
     ties = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m")).agg((F.sum("m") * (F.sum("m") - 1) / 2 - F.sum(F.col("m") * (F.col("m") - 1) / 2)).alias(f"free_{c}"))
     return score.join(ties("x")).join(ties("y")).select((F.coalesce("s", F.lit(0.0)) / F.nullif(F.sqrt(F.col("free_x") * F.col("free_y")), F.lit(0.0))).alias("tau"))
 

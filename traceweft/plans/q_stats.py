@@ -82,6 +82,15 @@ def _(s, d):
     return S.kendall(p, "x", "y").select(F.round("tau", 6).alias("tau"))
 
 
+@query(
+    "sta06_kendall_prices",
+    """WITH x AS (SELECT p_size AS x, p_retailprice AS y, row_number() OVER () AS i FROM part), p AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) AS s, (a.x <> b.x)::INT AS dx, (a.y <> b.y)::INT AS dy FROM x a JOIN x b ON a.i < b.i)
+    SELECT round(sum(s) / sqrt(sum(dx)::DOUBLE * sum(dy)::DOUBLE), 6) AS tau FROM p""",
+)
+def _(s, d):
+    return S.kendall(table(s, d, "part"), "p_size", "p_retailprice").select(F.round("tau", 6).alias("tau"))
+
+
 @query("sta07_stability", f"WITH r AS (SELECT p_size AS x, p_retailprice AS y, {_ranks('p_size')} AS a, {_ranks('p_retailprice')} AS b FROM part), c AS (SELECT corr(x, y) AS p, corr(a, b) AS q FROM r) SELECT round(1 - abs(p - q) / 2, 6) AS stability, CASE WHEN abs(p) > 0.7 AND abs(q) > 0.7 THEN 'linear' WHEN abs(q) - abs(p) > 0.1 THEN 'monotonic' WHEN abs(p) - abs(q) > 0.1 THEN 'outlier_driven' ELSE 'weak' END AS kind FROM c")
 def _(s, d):
     p, c = table(s, d, "part"), ["p_size", "p_retailprice"]
