@@ -276,3 +276,17 @@ def test_kendall_of_many_values(spark):
     want = (a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())
     df = spark.createDataFrame([(int(i), float(j)) for i, j in zip(x, y)] + [(None, 1.0)], "x long, y double")
     assert math.isclose(stats.kendall(df, "x", "y").first().tau, want, rel_tol=1e-9)
+
+
+def test_smote_of_a_large_class(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3000, (10_050, 2)).astype(float)
+    df = spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(x)], "id long, x double, y double")
+    out = balance.smote(df, "id", ["x", "y"], 10_050).collect()
+    assert len(out) == 10_050
+    for r in out[:300]:
+        d = ((x - x[r.base]) ** 2).sum(axis=1)
+        d[r.base] = np.inf
+        assert r.neighbour in np.argsort(d, kind="stable")[:5]

@@ -3,15 +3,46 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from traceweft.operators.sampling import by_label, resample
 
-#: Most rows of a class that SMOTE interpolates; its neighbours are searched among all of them.
-SMOTE_ROWS = 10_000
+#: About so many rows are in a block of SMOTE's search; every block meets every block.
+BLOCK_ROWS = 4096
+
+
+def _nearest(features: list[str], k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("b")  # equal distances go to the lesser id
+        columns = lambda t, side: [t.column(f"{side}_{c}").to_numpy().astype(float) for c in features]
+        xs, ys = columns(left, "a"), columns(right, "b")
+        ids, others, rows, cols, far = left.column("a").to_pylist(), right.column("b").to_pylist(), [], [], []
+        if not ids or not others:
+            return pa.Table.from_arrays([*left.drop_columns("i").drop_columns("j").slice(0, 0).columns, *right.drop_columns("i").drop_columns("j").slice(0, 0).columns, pa.array([], pa.float64())], names=[*[c for c in left.column_names if c not in "ij"], *[c for c in right.column_names if c not in "ij"], "far"])
+        most = max(Counter(others).values())  # rows that share an id are no neighbours
+        for lo in range(0, len(ids), 256):
+            d = np.zeros((len(ids[lo : lo + 256]), len(others)))
+            for x, y in zip(xs, ys):
+                d += (x[lo : lo + 256, None] - y) ** 2
+            last = min(k + most, len(others)) - 1
+            bound = np.partition(d, last, axis=1)[:, last]
+            for i in range(len(d)):
+                near = np.flatnonzero(~(d[i] > bound[i]))  # with all that are as far as the last
+                near = near[np.argsort(d[i, near], kind="stable")]
+                found = [j for j in near if others[j] != ids[lo + i]][:k]
+                rows += [lo + i] * len(found)
+                cols += found
+                far += d[i, found].tolist()
+        return pa.Table.from_arrays([*left.take(pa.array(rows, pa.int64())).drop_columns("i").drop_columns("j").columns, *right.take(pa.array(cols, pa.int64())).drop_columns("i").drop_columns("j").columns, pa.array(far, pa.float64())], names=[*[c for c in left.column_names if c not in "ij"], *[c for c in right.column_names if c not in "ij"], "far"])
+
+    return run
 
 
 def severity(ratio):
@@ -82,18 +113,21 @@ def before_after(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
 def smote(minority: DataFrame, row_id: str, features: list[str], new_rows: int, k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic rows between a row of the minority and one of its k nearest.
 
-    Neighbours are exact within the class, so the class must be small; a larger one raises.
+    Neighbours are exact within the class: hashed blocks of rows meet each other, keep k a row and are merged. The
+    work grows with the square of the class, the memory of a task does not.
     """
     n = minority.count()
-    if n > SMOTE_ROWS:
-        raise ValueError(f"{n} rows are over {SMOTE_ROWS}: reduce the class first, or use oversampling")
     k = min(5 if k is None else k, n - 1)
     if k < 1:
         raise ValueError("a class needs two rows to be interpolated")
     a = minority.select(F.col(row_id).alias("a"), *[F.col(c).cast("double").alias(f"a_{c}") for c in features])
     b = minority.select(F.col(row_id).alias("b"), *[F.col(c).cast("double").alias(f"b_{c}") for c in features])
-    far = sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in features), F.lit(0.0))
-    near = a.join(F.broadcast(b), F.col("a") != F.col("b")).withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(far, "b"))).where(F.col("_r") <= k)
+    blocks = math.ceil(n / BLOCK_ROWS)
+    block, every = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = a.withColumn("i", block("a")).withColumn("j", every), b.withColumn("j", block("b")).withColumn("i", every)
+    kept = StructType([*a.schema.fields, *b.schema.fields, StructField("far", DoubleType())])
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_nearest(features, k), kept)
+    near = met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("_r") <= k)
     order = F.xxhash64("a", F.lit(seed))
     per = math.ceil(new_rows / n)
     base = a.select("a", F.row_number().over(Window.orderBy(order, "a")).alias("_p")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).where(F.col("copy") * n + F.col("_p") <= new_rows)

@@ -127,7 +127,7 @@ def _(s, d):
 
 @query("bal06_smote")
 def _(s, d):
-    o = table(s, d, "orders").where("o_orderkey % 101 = 0").select("o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_custkey") % 97).cast("double").alias("y"))
+    o = table(s, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_custkey") % 97).cast("double").alias("y"))
     return B.smote(o, "o_orderkey", ["x", "y"], 400)
 
 
