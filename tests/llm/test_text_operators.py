@@ -155,7 +155,7 @@ def test_cover_meets_every_pair_of_offsets():
 
 
 def leaks(rows, items, least=0.8):
-    """Best similarity of an item-sized window that starts a common shingle's distance before it."""
+    """Best similarity of all item-sized windows, by the definition."""
     tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
     for item, text in items:
@@ -191,7 +191,7 @@ def test_decontamination_matches_brute_force(spark):
             w[len(w) // 2 if i < 9 else -1] = "edited"
         rows.append((100 + i, f"{text(20)}. {' '.join(w).upper()}! {text(9)}"))
     rows += [(200, "he said zig, zag, zog then"), (201, None), (202, ""), (203, items[0][1]), (204, "one two one two one two one two one two one two"), (205, "zig zag")]
-    rows += [(203, items[0][1]), (None, items[1][1])]
+    rows += [(203, items[0][1]), (203, f"{text(9)} {items[2][1]}"), (None, items[1][1]), (None, f"{text(5)} {items[3][1]}"), (None, text(30))]
     bench = spark.createDataFrame(items, "item_id long, text string").select("*", F.lit(1).alias("size"), F.lit(2).alias("g"))
     got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs(spark, rows), bench).collect()}
     want = leaks(rows, items)
@@ -200,6 +200,21 @@ def test_decontamination_matches_brute_force(spark):
     assert len(got) > 12
 
 
+def test_one_hot_passage_and_ids_that_say_nothing(spark):
+    """One benchmark passage in very many rows, most of which share an id or have none."""
+    item = " ".join(f"k{i}" for i in range(40))
+    rows = [(i if i % 3 == 0 else None if i % 3 == 1 else 7, f"x{i % 50} {item} y{i % 70}") for i in range(3_000)]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()}
+    assert got == {(d, 0): 1.0 for d in {d for d, _ in rows}}
+
+
+def test_bags_count_repeats(spark):
+    row = spark.createDataFrame([([5, 3, 5, 5, 9, 3],), ([],)], "h array<bigint>").select(decontam.bag(F.col("h")).alias("b")).collect()
+    assert len(row[0].b) == len(set(row[0].b)) == 6 and row[1].b == []
+    other = spark.createDataFrame([([5, 5, 3, 8], [3, 5, 5, 5, 3, 9])], "x array<bigint>, y array<bigint>")
+    assert other.select(F.size(F.array_intersect(decontam.bag(F.col("x")), decontam.bag(F.col("y")))).alias("n")).first().n == 3
+
+
 def test_no_near_fingerprint_escapes_the_index(spark):
     """Every fingerprint within the radius shares a key with the item's."""
     rng = random.Random(2)
@@ -339,8 +354,13 @@ def test_decontamination_tries_every_start(spark):
             k = rng.randrange(len(w))
             w[k:k] = [f"z{rng.randrange(10**6)}" for _ in range(rng.randint(0, 8))]
         rows.append((10 + i, " ".join([f"u{rng.randrange(9)}" for _ in range(rng.randint(0, 30))] + w[rng.randint(0, 8) : len(w) - rng.randint(0, 8)])))
+    half = [f"u{i}" for i in range(7)]
+    rows += [(100, " ".join([*half, *item[50:], *item[:50], *half])), (101, " ".join([*item[:30], "n1", *item[30:60], "n3", *item[60:]])), (102, " ".join([*half, *item[:92]])), (103, " ".join([*half, *item[9:]]))]
     items = [(0, " ".join(item)), (1, "a a a a a a a a a a a a")]
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    out = decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    size = {r.doc_id: (r.start, r.n_words) for r in out if r.item_id == 0}
+    assert size[102] == (7, 92) and size[100] == (7, 100) and {100, 101, 102, 103} <= set(size)
+    got = {(r.doc_id, r.item_id): r.similarity for r in out}
     want = leaks(rows, items)
     assert (0, 0) in want and set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)

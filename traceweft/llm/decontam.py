@@ -39,19 +39,27 @@ def shingles(w: Column, width: int = WIDTH) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), run)).otherwise(F.array().cast("array<bigint>"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; an expression inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bag(hashes: Column) -> Column:
-    """The same hashes with repeats told apart by their ordinal, so that set operations count like bags."""
-    return F.transform(hashes, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(hashes, 1, i), lambda y: y == x))))
+    """The same hashes, sorted, with repeats told apart by their ordinal, so that set operations count like bags."""
+    begins = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+    run = lambda x, a, z: F.transform(F.sequence(F.lit(1), z - a), lambda o: F.xxhash64(F.get(x, a), o))
+    runs = lambda x, at: F.flatten(F.transform(at, lambda a, k: run(x, a, F.coalesce(F.get(at, k + 1), F.size(x)))))
+    counted = let(F.sort_array(hashes), lambda x: let(begins(x), lambda at: runs(x, at)))
+    return F.when(F.size(hashes) > 0, counted).otherwise(F.array().cast("array<bigint>"))
 
 
 def simhash(hashes: Column) -> Column:
-    """Bit b of the result is set if bit b is set in more than half of the hashes."""
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda acc, x: acc + F.shiftrightunsigned(x, b).bitwiseAND(F.lit(1)).cast("int"))
-    bit = lambda b: F.when(2 * ones(b) > F.size(hashes), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-    fold = F.lit(0).cast("bigint")
-    for b in range(64):
-        fold = fold.bitwiseOR(bit(b))
-    return fold
+    """Bit b of the result is set if bit b is set in more than half of the hashes; bits b and b + 32 are counted together."""
+    shift = lambda x, b: F.call_function("shiftrightunsigned", x, b)
+    lanes = F.transform(F.array(*[F.lit(b) for b in range(32)]), lambda b: F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, x: acc + shift(x, b).bitwiseAND(F.lit((1 << 32) + 1))))
+    bit = lambda count, b: F.when(2 * count > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
+    bits = F.transform(lanes, lambda c, b: bit(c.bitwiseAND(F.lit((1 << 32) - 1)), b).bitwiseOR(bit(shift(c, F.lit(32)), b + 32)))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
 
 
 def _block(fingerprint: Column, k: int) -> Column:
@@ -70,10 +78,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """Pairs (doc_id, item_id) where a window of the document is as similar to the whole item as asked, or more.
 
     Returns doc_id, item_id, similarity (of the best window), start (its first word, the least on ties) and
-    n_words (its size). Items of fewer than 5 words are met as one shingle of all their words, and only
-    exactly. Null or wordless texts and items match nothing; rows that repeat an id are pooled under it; rows
-    with a null doc_id or item_id give pairs with null ids. Empty tables give an empty result; other columns
-    are ignored.
+    n_words (its size: the item's, or less at the end of the text). Items of fewer than 5 words are met as one
+    shingle of all their words, and only exactly. Null or wordless texts and items match nothing. Every row is
+    judged by itself; of rows that share a doc_id, or have none, each pair with an item is given once, with the
+    best of their windows, and so are pairs of items that share an item_id. Empty tables give an empty result;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     t = Tables(spark, "decontam")
@@ -81,42 +90,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     width = F.least(F.size("w"), F.lit(WIDTH))
     short = F.xxhash64("w", F.lit(-1))
     items = items.withColumn("size", F.size("w")).withColumn("sh", F.when(width < WIDTH, F.array(short)).otherwise(shingles(F.col("w"))))
-    items = t.keep("items", items.select("item_id", "size", "sh"))
+    items = t.keep("items", items.select("item_id", "size", "sh", bag(F.col("sh")).alias("bag"), simhash(F.col("sh")).alias("g")).withColumn("n", F.monotonically_increasing_id()))
     state = items.agg(F.sum(F.size("sh")), F.collect_set(F.when(F.col("size") < WIDTH, F.col("size")))).first()
     hint = F.broadcast if (state[0] or 0) * BLOCKS * len(_near_keys()) // WIDTH <= BROADCAST_ROWS else (lambda df: df)
 
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # a row is known by its id and its text, for ids may repeat or be missing
+    body = F.col(text).cast("string")
+    base = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("h"), F.hash(body).alias("g")).alias("key"), body.alias("text"))
     # which windows: every start whose window has enough places of the item's shingles
-    known = hint(items.select("item_id", "size", F.size("sh").alias("m"), F.explode(F.array_distinct("sh")).alias("h")))
-    w = base.select("doc_id", words(F.col("text")).alias("w"))
-    places = w.select("doc_id", F.posexplode(shingles(F.col("w"))).alias("at", "h"))
+    known = hint(items.select("n", "size", F.size("sh").alias("m"), F.explode(F.array_distinct("sh")).alias("h")))
+    w = base.select("key", words(F.col("text")).alias("w"))
+    places = w.select("key", F.posexplode(shingles(F.col("w"))).alias("at", "h"))
     for n in sorted(state[1]):  # at most four sizes
         runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n), F.lit(-1)))  # noqa: B023
-        places = places.unionByName(w.where(F.size("w") >= n).select("doc_id", F.posexplode(runs).alias("at", "h")))
+        places = places.unionByName(w.where(F.size("w") >= n).select("key", F.posexplode(runs).alias("at", "h")))
     need = F.greatest(F.ceil(F.col("m") * similarity - 1e-9).cast("int"), F.lit(1))
-    hits = places.join(known, "h").groupBy("doc_id", "item_id", "size", "m").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumn("need", need).where(F.size("at") >= F.col("need"))
+    hits = places.join(known, "h").groupBy("key", "n", "size", "m").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumn("need", need).where(F.size("at") >= F.col("need"))
     last = lambda i: F.get("at", i + F.col("need") - 1)
     starts = lambda i: F.when(last(i) - F.get("at", i) < F.col("m"), F.sequence(F.greatest(last(i) - F.col("m") + 1, F.lit(0)), F.get("at", i))).otherwise(F.array().cast("array<int>"))
-    spans = hits.select("doc_id", "size", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), starts)))).alias("start")).distinct()
-    spans = t.keep("spans", spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
+    spans = hits.select("key", "size", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), starts)))).alias("start")).distinct()
+    spans = t.keep("spans", spans.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
 
     # the windows themselves, each with its own slice of the document's shingles
-    full = base.join(spans, base.doc_id.eqNullSafe(spans.doc_id)).select(base.doc_id, words(F.col("text")).alias("w"), "spans")
-    full = full.withColumn("sh", shingles(F.col("w")))
-    part = lambda s: F.when(s["size"] < WIDTH, F.array(F.xxhash64(F.slice("w", s["start"] + 1, s["size"]), F.lit(-1)))).otherwise(F.slice("sh", s["start"] + 1, s["size"] - (WIDTH - 1)))
-    window = full.select("doc_id", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), part(s).alias("sh")))).alias("s")).select("doc_id", "s.*").where("size(sh) > 0")
-    window = t.keep("windows", window.select("doc_id", "start", "size", bag(F.col("sh")).alias("bag"), simhash(F.col("sh")).alias("f")))
+    full = base.join(spans, "key").select("key", words(F.col("text")).alias("w"), "spans")
+    part = lambda sh, s: F.when(s["size"] < WIDTH, F.array(F.xxhash64(F.slice("w", s["start"] + 1, s["size"]), F.lit(-1)))).otherwise(F.slice(sh, s["start"] + 1, s["size"] - (WIDTH - 1)))
+    parts = let(shingles(F.col("w")), lambda sh: F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), part(sh, s).alias("sh"))))
+    window = full.select("key", F.size("w").alias("total"), F.explode(parts).alias("s")).select("key", "total", "s.*").where("size(sh) > 0")
+    window = t.keep("windows", window.select("key", "start", "size", F.least("size", F.col("total") - F.col("start")).alias("n_words"), bag(F.col("sh")).alias("bag"), simhash(F.col("sh")).alias("f")))
 
     # multi-index: every pair of fingerprints within the radius meets under at least one block
-    item = t.keep("index", items.select("item_id", F.col("size").alias("item_size"), bag(F.col("sh")).alias("item_bag"), simhash(F.col("sh")).alias("g")).withColumn("n", F.monotonically_increasing_id()))
     masks = F.array(*[F.lit(m) for m in _near_keys()])
-    keys = item.select("n", "g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("g"), k).alias("b")) for k in range(BLOCKS)])).alias("e"))
-    keys = hint(keys.select("n", "g", (F.col("e.k") * (1 << BITS)).alias("base"), F.col("e.b").alias("b"), F.explode(masks).alias("m")).select("n", "g", (F.col("base") + F.col("b").bitwiseXOR(F.col("m"))).alias("key")))
-    probes = window.select("doc_id", "start", "size", "f", F.explode(F.array(*[_block(F.col("f"), k) + k * (1 << BITS) for k in range(BLOCKS)])).alias("key"))
-    near = probes.join(keys, "key").where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("doc_id", "start", "size", "n").distinct()
+    keys = items.select("n", "g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("g"), k).alias("b")) for k in range(BLOCKS)])).alias("e"))
+    keys = hint(keys.select("n", "g", (F.col("e.k") * (1 << BITS)).alias("base"), F.col("e.b").alias("b"), F.explode(masks).alias("m")).select("n", "g", (F.col("base") + F.col("b").bitwiseXOR(F.col("m"))).alias("slot")))
+    probes = window.select("key", "start", "size", "f", F.explode(F.array(*[_block(F.col("f"), k) + k * (1 << BITS) for k in range(BLOCKS)])).alias("slot"))
+    near = probes.join(keys, "slot").where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("key", "start", "size", "n").distinct()
 
     both, a, b = F.size(F.array_intersect("bag", "item_bag")), F.size("bag"), F.size("item_bag")
-    met = near.alias("p").join(window.alias("q"), F.col("p.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("p.start") == F.col("q.start")) & (F.col("p.size") == F.col("q.size"))).select("q.*", "p.n").join(hint(item), "n")
-    scored = met.select("doc_id", "item_id", "start", F.col("size").alias("n_words"), (both / (a + b - both)).alias("similarity")).where(F.col("similarity") >= similarity)
+    met = near.join(window, ["key", "start", "size"]).join(hint(items.select("n", "item_id", F.col("bag").alias("item_bag"))), "n")
+    scored = met.select("key.doc_id", "item_id", "start", "n_words", (both / (a + b - both)).alias("similarity")).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("similarity", "start", "n_words"), F.struct("similarity", -F.col("start"), "n_words"))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("v")).select("doc_id", "item_id", "v.similarity", F.col("v.start").cast("long").alias("start"), F.col("v.n_words").cast("long").alias("n_words"))
+    scored = scored.groupBy("doc_id", "item_id").agg(best.alias("v")).select("doc_id", "item_id", "v.similarity", F.col("v.start").cast("long").alias("start"), F.col("v.n_words").cast("long").alias("n_words"))
+    scored = t.keep("found", scored)
+    t.drop("items", "spans", "windows")
+    return scored

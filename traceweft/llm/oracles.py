@@ -62,3 +62,32 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(length(e) + length(r) + length('### : </turn>') + 1)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """
+
+# every item-sized window of each pair that shares enough shingles at all, with the exact similarity of the bags
+SQL["op5_simhash_decontamination"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+item AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+i AS (
+  SELECT item_id, ws, len(ws) AS size, least(len(ws), 5) AS width, len(ws) - least(len(ws), 5) + 1 AS m FROM item WHERE len(ws) > 0),
+bag AS (
+  SELECT item_id, size, width, m, sh, count(*) AS c
+  FROM (SELECT item_id, size, width, m, list_slice(ws, p, p + width - 1) AS sh FROM i, LATERAL (SELECT unnest(range(1, m + 1))) AS r(p))
+  GROUP BY ALL),
+place AS (
+  SELECT doc_id, len(ws) AS n, p - 1 AS pos, list_slice(ws, p, p + width - 1) AS sh
+  FROM w, (SELECT DISTINCT width FROM i) AS k, LATERAL (SELECT unnest(range(1, len(ws) - width + 2))) AS r(p)),
+hit AS (SELECT * FROM place JOIN bag USING (sh)),
+pair AS (SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, m HAVING count(DISTINCT pos) >= ceil(0.8 * m - 1e-9)),
+win AS (
+  SELECT doc_id, item_id, n, size, width, m, start, sh, c, count(*) AS k
+  FROM hit JOIN pair USING (doc_id, item_id), LATERAL (SELECT unnest(range(greatest(pos - m + 1, 0), pos + 1))) AS r(start)
+  GROUP BY ALL),
+sim AS (
+  SELECT doc_id, item_id, start, least(size, n - start) AS n_words, sum(least(c, k)) AS b, m + least(m, n - width + 1 - start) AS s
+  FROM win GROUP BY doc_id, item_id, start, n, size, width, m)
+SELECT doc_id, item_id, max(b / (s - b))::DOUBLE AS similarity,
+       arg_max(start, (b / (s - b), -start))::BIGINT AS start, arg_max(n_words, (b / (s - b), -start))::BIGINT AS n_words
+FROM sim WHERE b / (s - b) >= 0.8 GROUP BY doc_id, item_id
+"""
