@@ -1,26 +1,41 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
-A table written here cuts lineage and survives the loss of any executor. The folder is the
-session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is made.
+A table written here cuts lineage and survives the loss of any executor. The folder is the session's
+``spark.checkpoint.dir``. Only a session whose master is this very process may do without that setting; a
+cluster without it is refused, for a folder of the driver's is none of its executors'.
+
+Tables that a result still reads stay until ``release`` is called, or the JVM ends.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="traceweft-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="traceweft-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return base.rstrip("/")
 
 
+#: Every set of tables that is not released yet, oldest first.
+_live: list[Tables] = []
+
+
 class Tables:
     """Tables of one run of one operator; ``keep`` writes one, ``drop`` removes it when nothing reads it any more."""
 
@@ -31,6 +46,9 @@ class Tables:
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}"
+        if self not in _live:
+            _live.append(self)
+            self._on(self.base, "deleteOnExit")
         df.write.option("compression", "zstd").parquet(path)
         self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
@@ -45,12 +63,22 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.at.pop(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._on(self.at.pop(name), "delete", True)
+
+    def _on(self, where: str, do: str, *more) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        getattr(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), do)(path, *more)
+
+
+def mark() -> int:
+    """A place in the history of working tables, for ``release``."""
+    return len(_live)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Few documents in each Arrow batch, so that very long ones do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release(since: int = 0) -> None:
+    """Deletes the working tables of all operators called after a mark; for when their results are written or collected."""
+    for t in _live[since:]:
+        t._on(t.base, "delete", True)
+    del _live[since:]

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceweft.llm.durable import Tables, small_batches
-from traceweft.llm.samples import LONGEST_SAMPLED, some
-from traceweft.llm.words import buffer_of
+from traceweft.llm.durable import Tables
+from traceweft.llm.samples import CHARS, LONGEST, ROWS, bounded, some
+from traceweft.llm.words import buffer_of, pieces
 
 BINS = 1 << 16
 #: Independent observations that a text counts as at most: more trigrams only sharpen their mean.
@@ -79,6 +79,8 @@ class TextModel:
     @staticmethod
     def fit(texts: list[str], langs: list[str]) -> TextModel:
         languages = sorted(set(langs))
+        if not languages:
+            return TextModel([], np.zeros((0, BINS)), np.zeros((0, 3)))
         counts = np.zeros((len(languages), BINS))
         for text, lang in zip(texts, langs):
             counts[languages.index(lang)] += np.bincount(_bins_of(text), minlength=BINS)
@@ -119,7 +121,7 @@ class TextModel:
 
 def _scored(model: TextModel):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             logs, letters = model.likelihoods(b.column("text"))
             rest = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
             flat = pa.array(logs.ravel())
@@ -132,25 +134,26 @@ def _scored(model: TextModel):
 
 def identify(
     docs: DataFrame, wanted: list[str] | None = None, least: float = 0.5, text: str = "text", doc_id: str = "doc_id", host: str | None = "source", label: str | None = "lang",
-    training: DataFrame | None = None, sample_rows: int = 4000, rows_too: bool = False,
+    training: DataFrame | None = None, rows_too: bool = False, sample_rows: int = ROWS, sample_longest: int = LONGEST, sample_chars: int = CHARS,
 ) -> DataFrame:
     """Language of every whole text.
 
     The text model is fitted on about ``sample_rows`` rows of ``training`` (by default ``docs``) that carry a
-    ``label``; labels are no evidence afterwards. ``host`` names a column with a host, an address or any name of
+    ``label``, in the order of a hash, of at most ``sample_longest`` characters each and ``sample_chars`` in
+    all; labels are no evidence afterwards. ``host`` names a column with a host, an address or any name of
     a source. Returns doc_id, lang (null where rejected for want of evidence), probability, declared (by the
     text's mark-up), accepted. A text whose trigrams are as rare as no training text's of its best language is
-    rejected as another language or junk. Tags of a text that declares its language are no evidence. A null, empty or letterless text is rejected whatever its host; null hosts share
-    the corpus prior; with no labelled row at all nothing is accepted. Equal probabilities go to the language
+    rejected as another language or junk. Tags of a text that declares its language are no evidence. A null,
+    empty or letterless text is rejected whatever its host; null hosts share the corpus prior, and a host without
+    a dot is its own domain; with no labelled row at all nothing is accepted. Equal probabilities go to the language
     that sorts first. Rows stand for themselves, repeated or not; an empty table gives an empty result; other
     columns are ignored. With ``rows_too`` the input row comes along as ``row``.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     t = Tables(spark, "langid")
     source = training if training is not None else docs
-    known = source.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("k"))
-    drawn = some(known.where(F.col("lang").isNotNull() & (F.length("text") <= LONGEST_SAMPLED)), F.col("k"), sample_rows).select("text", "lang").collect()
+    known = source.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"), F.xxhash64(doc_id, text, F.lit(29)).alias("k"))
+    drawn = bounded(some(known.where(F.col("lang").isNotNull() & (F.length("text") <= sample_longest)), F.col("k"), sample_rows), sample_chars)
     model = TextModel.fit([r.text for r in drawn], [r.lang for r in drawn])
     langs = model.languages
     address = F.lower(F.coalesce(F.col(host).cast("string"), F.lit(""))) if host else F.lit("")
@@ -187,7 +190,9 @@ def identify(
         return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, y: a + y))
 
     share = weighed(first).where("letters").withColumn("p", posterior(F.col("logs")))
-    parent = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    # the registered domain: two labels, or three under a country's own second level, as in co.uk
+    two = F.regexp_extract("host", r"([^.]+\.(?:(?:ac|co|com|edu|gob|gov|go|gv|net|ne|org|or)\.[a-z]{2}|[^.]+))\.?$", 1)
+    parent = F.when(two != "", two).otherwise(F.col("host"))
     hosts = share.groupBy("host").agg(*[F.sum(F.get("p", k)).alias(f"s{k}") for k in each], F.count(F.lit(1)).alias("c")).withColumn("domain", parent)
     hosts = t.keep("hosts", hosts)
     world = hosts.agg(*[((F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) + 1.0) / (F.coalesce(F.sum("c"), F.lit(0)) + n)).alias(f"w{k}") for k in each])

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from traceweft.llm.components import components
-from traceweft.llm.durable import Tables, small_batches
-from traceweft.llm.words import U, mix, set_hash, windows, words_of
+from traceweft.llm.durable import Tables
+from traceweft.llm.words import U, mix, pieces, set_hash, windows, words_of
 
 WIDTH = 5
 #: Buckets of this many classes or more are crowded.
@@ -99,7 +99,7 @@ class Sketch:
 def _sketcher(bands: int, rows: int):
     def run(batches):
         sketch = Sketch(bands, rows)
-        for b in batches:
+        for b in pieces(batches):
             sets = shingle_sets(b.column("text"))
             sig = np.zeros((len(sets), sketch.bins), U)
             for i, s in enumerate(sets):
@@ -121,14 +121,14 @@ def _sketcher(bands: int, rows: int):
 
 def _classes(batches):
     """The class of each row, beside the row."""
-    for b in batches:
+    for b in pieces(batches):
         sets = shingle_sets(b.column("text"))
         cls = pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), cls, b.column("row")], names=["doc_id", "n_shingles", "cls", "row"])
 
 
 def _sets(batches):
-    for b in batches:
+    for b in pieces(batches):
         sets, cls = shingle_sets(b.column("text")), b.column("cls").to_pylist()
         same = [i for i, s in enumerate(sets) if set_hash(s) == cls[i]]
         flat = np.concatenate([sets[i] for i in same] or [np.zeros(0, U)]).view(np.int64)
@@ -171,7 +171,6 @@ def one_of_each(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
 def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, cls, keys), and for each class its component_id and the class that leads its group."""
     spark = docs.sparkSession
-    small_batches(spark)
     t = Tables(spark, "near-dup")
     bands, rows = shape(percent)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

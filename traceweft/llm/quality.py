@@ -13,9 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceweft.llm.durable import small_batches
-from traceweft.llm.samples import labelled
-from traceweft.llm.words import buffer_of
+from traceweft.llm.samples import CHARS, LONGEST, ROWS, labelled
+from traceweft.llm.words import buffer_of, pieces
 
 FILTERS, WIDTH, STRIDE = 16, 6, 2
 HALF = 256
@@ -127,22 +126,25 @@ class ByteConv:
 
 def _scores(model: ByteConv):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(*buffer_of(b.column("text"))))], names=["doc_id", "score"])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", sample_rows: int = 4000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Scores every whole text with a network fitted on about ``sample_rows`` labelled rows that are not held out.
+def classify(
+    docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample_rows: int = ROWS, sample_longest: int = LONGEST, sample_chars: int = CHARS
+) -> DataFrame:
+    """Scores every whole text with a network fitted on a bounded sample of labelled rows that are not held out.
 
+    The sample holds about ``sample_rows`` rows of ids that carry one label alone, no text of more than
+    ``sample_longest`` characters, and ``sample_chars`` characters in all; see ``samples.labelled``.
     ``held_out`` is an expression over ``labels``' doc_id. Returns doc_id, held_out, score, predicted (1 if the
     score is 0.7 or more). A null text scores like an empty one; rows without a doc_id are not held out. If no
     row, or rows of one class only, can be learned from, the score is the same for all. Rows stand for
     themselves; an empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    texts, y = labelled(docs, labels.withColumnRenamed(doc_id, "doc_id"), label, F.coalesce(held_out, F.lit(False)), sample_rows, text, doc_id)
+    texts, y = labelled(docs, labels.withColumnRenamed(doc_id, "doc_id"), label, F.coalesce(held_out, F.lit(False)), sample_rows, sample_longest, sample_chars, text, doc_id)
     model = ByteConv().fit([x.encode() for x in texts], np.array(y, np.float32)) if texts else ByteConv()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = base.mapInArrow(_scores(model), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceweft.llm.durable import Tables, small_batches
-from traceweft.llm.words import U, Words, sequence_hash, windows, words_of
+from traceweft.llm.durable import Tables
+from traceweft.llm.words import U, Words, pieces, sequence_hash, windows, words_of
 
 LENGTH = 50
 PERIOD = 31
@@ -33,7 +33,7 @@ ANCHOR = LENGTH - PERIOD + 1
 def _anchors(batches):
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
-    for b in batches:
+    for b in pieces(batches):
         w = words_of(b.column("text"), hashes=2)
         every = windows(w.h[0], ANCHOR, 7).view(np.int64)
         counts, seqs, shas, lists = [], [], [], []
@@ -73,7 +73,7 @@ def _positions(of: list[int]) -> np.ndarray:
 
 def _windows(batches):
     """Full windows around each shared anchor of a document."""
-    for b in batches:
+    for b in pieces(batches):
         w = words_of(b.column("text"), hashes=2)
         one, two = windows(w.h[0], LENGTH, 13).view(np.int64), (windows(w.h[1], LENGTH, 17) >> U(32)).astype(np.uint32).view(np.int32)
         seqs, places = b.column("seq").to_pylist(), b.column("places").to_pylist()
@@ -102,7 +102,7 @@ def _windows(batches):
 
 def _cut(batches):
     """Words left of each document, once as their digest and once as text with the white space behind each kept word."""
-    for b in batches:
+    for b in pieces(batches):
         w = words_of(b.column("text"), hashes=2)
         seqs, starts = b.column("seq").to_pylist(), b.column("starts").to_pylist()
         rows, removed, shas, texts = [], [], [], []
@@ -141,7 +141,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     t = Tables(spark, "substring")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scan = "doc_id long, n_words long, seq binary, sha string, anchors array<long>"

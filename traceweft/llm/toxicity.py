@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceweft.llm.durable import small_batches
-from traceweft.llm.samples import labelled
-from traceweft.llm.words import PIECE, U, buffer_of, mix, odd_powers
+from traceweft.llm.samples import CHARS, LONGEST, ROWS, labelled
+from traceweft.llm.words import PIECE, U, buffer_of, mix, odd_powers, pieces
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 8
@@ -29,6 +28,9 @@ PREDICTED = 0.7
 PRIOR = 0.5
 #: Sharpness of the soft maximum.
 SHARP = 1.0
+#: Vectors start from the log odds that the training documents suggest: DRIFT for each deviation above CLEAR between
+#: how many documents with an n-gram are toxic and how many would be by chance. N-grams of fewer than LEAST documents say nothing.
+DRIFT, CLEAR, LEAST = 2.0, 2.5, 2
 
 #: ASCII marks that end a word; others stay, as misspellings use them.
 _ENDS = b" \t\n\v\f\r.,;:?!\"()[]{}<>|/"
@@ -96,11 +98,11 @@ def _soft_max(z: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class SubwordBag:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
+        self.vectors = np.zeros((BUCKETS, DIM), np.float32)
         self.softmax = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.3, seed: int = 13, least_steps: int = 600) -> SubwordBag:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.3, seed: int = 13, least_steps: int = 300) -> SubwordBag:
         """Joint training by AdaGrad, in more epochs for a small sample; a word's n-grams are found once for all of it."""
         epochs = max(epochs, -(-least_steps // max(1, len(texts) // batch)))
         off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
@@ -116,6 +118,7 @@ class SubwordBag:
         order = np.argsort(owners, kind="stable")
         buckets, grams = buckets[order], np.bincount(owners, minlength=len(seen))
         begin = np.cumsum(grams) - grams
+        known = self._start(labels, [self._buckets(np.unique(ids[a:b]), begin, grams, buckets)[0] for a, b in zip(first[:-1], first[1:])])
         rng = np.random.default_rng(seed)
         weight = np.where(labels == 1, PRIOR / max(labels.mean(), 1e-9), (1 - PRIOR) / max(1 - labels.mean(), 1e-9))
         past, past_softmax, past_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
@@ -124,9 +127,7 @@ class SubwordBag:
                 counts = first[pick + 1] - first[pick]
                 mine = np.concatenate([[0], np.cumsum(counts)])
                 tokens, word = np.unique(np.concatenate([ids[first[d] : first[d + 1]] for d in pick]), return_inverse=True)
-                g = grams[tokens]
-                place = np.repeat(begin[tokens] - (np.cumsum(g) - g), g) + np.arange(int(g.sum()))
-                used = buckets[place]
+                used, g = self._buckets(tokens, begin, grams, buckets)
                 vec = np.add.reduceat(self.vectors[used], np.cumsum(g) - g) / g[:, None] if len(tokens) else np.zeros((0, DIM), np.float32)
                 a, b, to = _spans(mine)
                 n = np.maximum(b - a, 1)
@@ -145,7 +146,7 @@ class SubwordBag:
                 np.add.at(edge, b, -dz / n)
                 own = np.bincount(word, weights=np.cumsum(edge)[:-1], minlength=len(tokens)) / np.maximum(g, 1)
                 gram = np.bincount(used, weights=np.repeat(own, g), minlength=BUCKETS)
-                hit = np.flatnonzero(gram)
+                hit = np.flatnonzero((gram != 0) & known)
                 step = gram[hit, None] * d[None, :]
                 past[hit] += (step * step).mean(axis=1)
                 self.vectors[hit] -= rate * (1 - epoch / epochs) * step / np.sqrt(past[hit])[:, None]
@@ -155,6 +156,25 @@ class SubwordBag:
                 self.bias -= (0.3 * rate * gbias / np.sqrt(past_bias)).astype(np.float32)
         return self
 
+    @staticmethod
+    def _buckets(tokens: np.ndarray, begin: np.ndarray, grams: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the given words, one word's after another's, and how many each has."""
+        g = grams[tokens]
+        return buckets[np.repeat(begin[tokens] - (np.cumsum(g) - g), g) + np.arange(int(g.sum()))], g
+
+    def _start(self, labels: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
+        """Sets the vectors to what the documents' buckets say by themselves; which buckets are known well enough to learn."""
+        seen, toxic, share = np.zeros(BUCKETS), np.zeros(BUCKETS), labels.mean()
+        for buckets, y in zip(map(np.unique, of), labels):
+            seen[buckets] += 1
+            toxic[buckets] += y
+        known = seen >= LEAST
+        z = (toxic - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+        odds = np.where(known, DRIFT * np.sign(z) * np.maximum(np.abs(z) - CLEAR, 0), 0) if 0 < share < 1 else np.zeros(BUCKETS)
+        d = self.softmax[:, 1] - self.softmax[:, 0]
+        self.vectors += (odds[:, None] * d[None, :] / (d @ d)).astype(np.float32)
+        return known
+
     def folded(self) -> tuple[np.ndarray, float]:
         """The log odds that each bucket adds, and those of an empty span."""
         return (self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
@@ -182,22 +202,25 @@ def score(table: np.ndarray, bias: float, buf: np.ndarray, off: np.ndarray) -> n
 
 def _scores(table: np.ndarray, bias: float):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(table, bias, *buffer_of(b.column("text"))))], names=["doc_id", "score"])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", sample_rows: int = 4000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Scores every whole text with a model fitted on about ``sample_rows`` labelled rows that are not held out.
+def classify(
+    docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", sample_rows: int = ROWS, sample_longest: int = LONGEST, sample_chars: int = CHARS
+) -> DataFrame:
+    """Scores every whole text with a model fitted on a bounded sample of labelled rows that are not held out.
 
+    The sample holds about ``sample_rows`` rows of ids that carry one label alone, no text of more than
+    ``sample_longest`` characters, and ``sample_chars`` characters in all; see ``samples.labelled``.
     ``held_out`` is an expression over ``labels``' doc_id. Returns doc_id, held_out, score, predicted (1 if the
     score is 0.7 or more). A null, empty or wordless text gets the score of an empty span; rows without a doc_id
     are not held out. If no row, or rows of one class only, can be learned from, scores carry no meaning but
     stay within 0 and 1. Rows stand for themselves; an empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    texts, y = labelled(docs, labels.withColumnRenamed(doc_id, "doc_id"), label, F.coalesce(held_out, F.lit(False)), sample_rows, text, doc_id)
+    texts, y = labelled(docs, labels.withColumnRenamed(doc_id, "doc_id"), label, F.coalesce(held_out, F.lit(False)), sample_rows, sample_longest, sample_chars, text, doc_id)
     model = SubwordBag().fit([x.encode() for x in texts], np.array(y, np.float64)) if texts else SubwordBag()
     table, bias = model.folded()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

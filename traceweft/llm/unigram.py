@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceweft.llm.durable import small_batches
+from traceweft.llm.words import pieces
 
 MARK = "▁"
 #: The library's penalty for a character that no piece covers.
@@ -208,7 +208,7 @@ class Codec:
 def _coded(model: Model, digest: bool):
     def run(batches):
         codec = Codec(model)
-        for b in batches:
+        for b in pieces(batches):
             ids = [codec.encode(x or "") for x in b.column("text").to_pylist()]
             back = [codec.decode(x.tolist()) for x in ids]
             counts = pa.array([len(x) for x in ids], pa.int64())
@@ -233,7 +233,6 @@ def encoded(docs: DataFrame, model: Model, digest: bool = False, text: str = "te
     decoded_sha256 (of the text in UTF-8). A null text counts as empty and has no pieces. Every row stands for
     itself, so repeated rows, null ids and other columns need no rule; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     a, b = ("pieces_sha256", "decoded_sha256") if digest else ("pieces", "decoded")

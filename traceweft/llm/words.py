@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes hashed at a time; bounds the memory that a batch or one very long text takes.
@@ -70,6 +71,17 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def pieces(batches, most: int = 4 << 20):
+    """The same rows in batches whose texts take at most ``most`` bytes; a longer text comes alone."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        upto, a = np.cumsum(lengths, dtype=np.int64), 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def words_of(column: pa.Array, lower: bool = False, hashes: int = 1) -> Words:
     """Words of every text, with one or two independent 64-bit hashes of each."""
     buf, off = buffer_of(column)
