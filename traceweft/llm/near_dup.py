@@ -10,9 +10,13 @@ candidate edge is confirmed on the full sets; stars bound the pairs where copies
 Members that the stars leave in different components are compared with each other in a second round, so no
 link is lost: in small buckets all of them, in crowded ones those pairs that a prefix filter cannot rule
 out. For that the shingles of crowded classes are ordered from rare to common; two sets as similar as asked
-share one of their first few, and the place of the first shared one bounds what they have in common. Texts
-that drifted apart begin with shingles of their own, so groups of thousands give few pairs. Classes whose
-shingles are the least their own stand nearest to what a group copies, and are the centres of its stars.
+share one of their first few, and the place of the first shared one bounds what they have in common. Under
+each key only members outside its largest component look for partners, so a large group that is one component
+already costs nothing. Classes whose shingles are the least their own stand nearest to what a group copies,
+and are the centres of its stars.
+
+A link between sets of more than 64 shingles is missed by chance of the sketch alone, at a rate of about 1e-6
+at the threshold and less above it; between smaller sets none is.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ from traceweft.llm.words import U, mix, pieces, set_hash, windows, words_of
 WIDTH = 5
 #: Buckets of this many classes or more are crowded.
 CROWD = 16
+#: Sets of at most this many shingles also stand in buckets of their least hashes, where no link of theirs can be missed:
+#: densified bins of few shingles are no independent draws.
+SMALL = 80
 
 
 def shape(percent: int, bins: int = 252, miss: float = 1e-5) -> tuple[int, int]:
@@ -96,7 +103,13 @@ class Sketch:
         return mix(x.sum(axis=2, dtype=U) + self.salts).view(np.int64)
 
 
-def _sketcher(bands: int, rows: int):
+def prefix(values: np.ndarray, percent: int) -> np.ndarray:
+    """The least hashes of a set: of two sets as similar as asked each shares one of the other's."""
+    n = len(values)
+    return np.sort(mix(values))[: n - -(-percent * n // 100) + 1]
+
+
+def _sketcher(bands: int, rows: int, percent: int):
     def run(batches):
         sketch = Sketch(bands, rows)
         for b in pieces(batches):
@@ -106,14 +119,17 @@ def _sketcher(bands: int, rows: int):
                 if len(s):
                     sig[i] = sketch.signature(s)
             keys = sketch.keys(sig)
+            each = [np.concatenate([k, prefix(s, percent).view(np.int64)]) if 0 < len(s) <= SMALL else k for k, s in zip(keys, sets)]
+            ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").cast(pa.int64()),
+                    b.column("body"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel())),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*each, np.zeros(0, np.int64)]))),
                 ],
-                names=["doc_id", "n_shingles", "cls", "keys"],
+                names=["doc_id", "body", "n_shingles", "cls", "keys"],
             )
 
     return run
@@ -148,7 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     seen, least = _grouped(docs, percent, text, doc_id)
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.col("cls").isNull(), F.lit(False))
-    return seen.drop("keys").join(least, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return seen.drop("keys", "body").join(least, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -158,14 +174,17 @@ def one_of_each(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
     the row that stays is repeated, one copy does. Rows with an empty set all stay. Columns are the input's.
     """
     _, least = _grouped(docs, percent, text, doc_id)
-    leads = least.where("cls = lead").select(F.col("cls").alias("lead"), "component_id")
+    known = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]  # plain keys: the join's partitions serve the grouping
+    leads = least.where("cls = lead").withColumnRenamed("component_id", "doc_id").select("cls", *known)
     # rows meet their class again from the texts themselves; a table of whole texts would take the disk of the input
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    body = F.col(text).cast("string")
+    worded = F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole = docs.where(worded).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = whole.mapInArrow(_classes, f"doc_id long, n_shingles long, cls binary, row {whole.schema['row'].dataType.simpleString()}")
     # the id is part of the key, so that copies of one hot text spread
-    met = found.join(leads, (F.col("cls") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left").where("lead is not null or n_shingles = 0")
-    turn = F.row_number().over(Window.partitionBy("cls", "doc_id").orderBy("n_shingles"))
-    return met.withColumn("turn", turn).where("turn = 1 or n_shingles = 0").select("row.*")
+    met = found.select("cls", "row", *known).join(leads, ["cls", "none", "id"])
+    one = met.groupBy("cls", "none", "id").agg(F.first("row").alias("row")).select("row.*")
+    return one.unionByName(docs.where(~worded))
 
 
 def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
@@ -173,15 +192,21 @@ def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> tuple[Dat
     spark = docs.sparkSession
     t = Tables(spark, "near-dup")
     bands, rows = shape(percent)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = t.keep("sketches", base.mapInArrow(_sketcher(bands, rows), "doc_id long, n_shingles long, cls binary, keys array<long>"))
-    front = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")  # of the rows that stand for a class the first one
-    classes = t.keep("classes", seen.where("cls is not null").groupBy("cls").agg(F.min(front).alias("front"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")).withColumn("least", F.col("front.doc_id")))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("body", F.xxhash64("text"))
+    seen = t.keep("sketches", base.mapInArrow(_sketcher(bands, rows, percent), "doc_id long, body long, n_shingles long, cls binary, keys array<long>"))
+    front = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")  # of the rows that stand for a class the first one
+    classes = seen.where("cls is not null").groupBy("cls").agg(F.min(front).alias("front"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = t.keep("classes", classes)
     ranked = classes.select("cls", "n", F.explode("keys").alias("bucket"))
-    by_bucket = Window.partitionBy("bucket")
-    members = t.keep("buckets", ranked.withColumn("size", F.count(F.lit(1)).over(by_bucket)).where("size > 1"))
-    wanted = members.select("cls").distinct().join(classes.select("cls", "least"), "cls")
-    pool = t.keep("pool", base.join(wanted, base.doc_id.eqNullSafe(wanted.least)).select("cls", "text").mapInArrow(_sets, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    # sizes are a table of their own, so that Spark may split the rows of a hot bucket where they meet it
+    sizes = t.keep("sizes", ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = t.keep("buckets", ranked.join(sizes, "bucket"))
+    wanted = members.select("cls").distinct().join(classes.select("cls", "front"), "cls").select("cls", F.col("front.doc_id").alias("least"), F.col("front.body").alias("body"))
+    wanted = t.keep("wanted", wanted)
+    # one row stands for a class: that of its least id, and of rows without an id the one of the least text
+    stands = base.doc_id.eqNullSafe(wanted.least) & (base.body == wanted.body)
+    pool = base.join(wanted, stands).select("cls", "text").mapInArrow(_sets, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    pool = t.keep("pool", pool)
     crowd = pool.join(members.where(F.col("size") >= CROWD).select("cls").distinct(), "cls", "left_semi")
     crowd = t.keep("crowd", crowd.withColumn("id", F.monotonically_increasing_id()))
     usage = crowd.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
@@ -189,7 +214,7 @@ def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> tuple[Dat
     lone = crowd.select("cls", "id").join(usage.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "id").select("cls", "lone")
     shared = F.col("n") - F.when(F.col("size") >= CROWD, F.coalesce("lone", F.lit(0))).otherwise(0)
     members = members.join(lone, "cls", "left").select("bucket", "cls", "size", "n", shared.alias("shared")).where(100 * F.col("shared") >= percent * F.col("n"))
-    members = t.keep("members", members.withColumn("rank", F.row_number().over(by_bucket.orderBy(F.col("n") - F.col("shared"), "cls"))))
+    members = t.keep("members", members)
     labels = _linked(t, members, pool, crowd, usage, percent)
     least = classes.select("cls", "front")
     if labels is not None:
@@ -204,10 +229,10 @@ def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> tuple[Dat
     return seen, least
 
 
-def _pairs(of: DataFrame, on: str, low: str, columns: tuple[str, ...], might) -> DataFrame:
-    """Pairs (a < b, both_n) of rows that meet on a column, the first of them chosen by ``low``, where ``might`` holds."""
+def _pairs(left: DataFrame, right: DataFrame, on: str, columns: tuple[str, ...], might) -> DataFrame:
+    """Pairs (a < b, both_n) of rows that meet on a column where ``might`` holds."""
     side = lambda x: [F.col(c).alias(f"{x}{c}") for c in columns]
-    met = of.where(low).select(on, *side("a")).join(of.select(on, *side("b")), on).where(might)
+    met = left.select(on, *side("a")).join(right.select(on, *side("b")), on).where((F.col("acls") != F.col("bcls")) & might)
     return met.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"), (F.col("an") + F.col("bn")).alias("both_n"))
 
 
@@ -225,29 +250,31 @@ def _linked(t: Tables, members: DataFrame, pool: DataFrame, crowd: DataFrame, us
     # at most the lesser count of shared shingles can be common; where even that falls short there is no link
     most, n = F.least("ashared", "bshared"), F.col("an") + F.col("bn")
     might = 100 * most >= percent * (n - most)
-    stars = t.keep("stars", _pairs(members, "bucket", "rank = 1", ("cls", "n", "shared", "rank"), might & (F.col("brank") > 1)).distinct())
+    centre = F.struct((F.col("n") - F.col("shared")).alias("own"), "cls", "n", "shared")
+    centres = t.keep("centres", members.groupBy("bucket").agg(F.min(centre).alias("c")).select("bucket", "c.cls", "c.n", "c.shared"))
+    stars = t.keep("stars", _pairs(members, centres, "bucket", ("cls", "n", "shared"), might).distinct())
     links = t.keep("links", _confirmed(stars, pool, percent))
     labels = None if links.isEmpty() else t.keep("labels", components(t, links, "a"))
 
-    def labelled(df: DataFrame) -> DataFrame:
+    def across(df: DataFrame, by: str, name: str, columns: tuple[str, ...], when) -> DataFrame:
+        """Pairs across the components that meet under a key: who is not of the key's largest component, with all there."""
         if labels is None:
-            return df.withColumn("label", F.col("cls"))
-        return df.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-    def still_open(df: DataFrame, by: str) -> DataFrame:
-        ends = df.groupBy(by).agg(F.min("label").alias("x"), F.max("label").alias("y"))
-        return df.join(ends.where("x <> y").select(by), by, "left_semi")
-
-    apart = F.col("alabel") != F.col("blabel")
-    small = still_open(labelled(members.where(F.col("size").between(3, CROWD - 1) & (F.col("rank") > 1))), "bucket")
-    rest = _pairs(small, "bucket", "true", ("cls", "n", "shared", "rank", "label"), (F.col("arank") < F.col("brank")) & apart & might)
+            df = df.withColumn("label", F.col("cls"))
+        else:
+            df = df.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        df = t.keep(name, df)
+        count = df.groupBy(by, "label").agg(F.count(F.lit(1)).alias("count")).groupBy(by).agg(F.max(F.struct("count", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"))
+        still = t.keep(f"{name}-open", count.where("labels > 1").select(by, F.col("largest.label").alias("largest")))
+        df = t.keep(f"{name}-left", df.join(still, by))
+        return _pairs(df.where("label <> largest"), df, by, (*columns, "label"), (F.col("alabel") != F.col("blabel")) & when)
+
+    rest = across(members.where(F.col("size").between(3, CROWD - 1)).select("bucket", "cls", "n", "shared"), "bucket", "small", ("cls", "n", "shared"), might)
     # prefix filter over crowded classes: shingles from rare to common, the first few of each class
     place = F.row_number().over(Window.partitionBy("cls").orderBy("c", "s"))
     flat = crowd.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(usage.select("s", "c"), "s")
     first = flat.withColumn("place", place).where((100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")) & (F.col("c") > 1))
-    first = still_open(labelled(first.select("s", "cls", "n", "place")), "s")
     upto = 1 + F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
-    rest = rest.unionByName(_pairs(first, "s", "true", ("cls", "n", "place", "label"), (F.col("acls") < F.col("bcls")) & apart & ((100 + percent) * upto >= percent * n)))
+    rest = rest.unionByName(across(first.select("s", "cls", "n", "place"), "s", "first", ("cls", "n", "place"), (100 + percent) * upto >= percent * n))
     rest = t.keep("rest", rest.distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     more = t.keep("more", _confirmed(rest, pool, percent))
     if more.isEmpty():

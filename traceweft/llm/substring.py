@@ -7,8 +7,9 @@ more than one document then extend: every 50-word window around one is hashed in
 window goes if it also starts in a document with a smaller doc_id.
 
 Documents with the same words form one class whose copies go whole, without anchors of their own. All
-counting is by key with map-side combining, positions meet their counts in joins that Spark may split where
-a key is hot, and only positions of one document are ever gathered together.
+counting is by key with map-side combining. Positions meet their counts in joins of two kept tables, the one
+shape in which Spark splits the rows of a hot key over several tasks, and only positions of one document are
+ever gathered together.
 """
 
 from __future__ import annotations
@@ -154,16 +155,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = scanned.where(f"doc_id is not null and n_words >= {LENGTH}").groupBy("seq").agg(F.min_by("anchors", "doc_id").alias("anchors"), F.min("doc_id").alias("doc_id"))
     first = t.keep("first", first.withColumn("uid", F.monotonically_increasing_id()))
     anchor = first.select("doc_id", "uid", F.posexplode("anchors").alias("place", "h"))
-    shared = anchor.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    shared = t.keep("shared", anchor.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
     t.settle()
     places = t.keep("places", anchor.select("uid", "place", "h").join(shared, "h").groupBy("uid").agg(F.collect_list("place").alias("places")))
+    t.drop("shared")
     t.settle()
     hit = first.select("uid", "doc_id", "seq").join(places, "uid")
     met = t.keep("met", base.join(hit, "doc_id"))
     t.settle()
-    window = met.mapInArrow(_windows, "h long, g int, doc_id long, uid long, start int")
-    earlier = window.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "g", "a")
+    window = t.keep("windows", met.mapInArrow(_windows, "h long, g int, doc_id long, uid long, start int"))
+    earlier = t.keep("earlier", window.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "g", "a"))
+    t.settle()
     starts = t.keep("starts", window.join(earlier, ["h", "g"]).where("a < doc_id").groupBy("uid").agg(F.collect_list("start").alias("starts")))
+    t.drop("windows", "earlier")
     t.settle()
     cut = met.select("doc_id", "seq", "uid", "text").join(starts, "uid").mapInArrow(_cut, "doc_id long, seq binary, n_removed long, kept_sha256 string, kept_text string")
     cut = t.keep("cut", cut.dropDuplicates(["seq"]))
