@@ -212,6 +212,23 @@ def test_shared_turns_are_emitted_once_with_their_masks(spark):
     assert sorted(c for n in nodes for c in n.conv_ids) == [1, 2, 3, 10]
 
 
+def test_a_hot_first_turn_over_many_segments(spark):
+    """3,000 conversations with one first turn: segments stay bounded, repeated context is marked; whole trees repeat nothing."""
+    talks = [(i, k, "user" if k % 2 == 0 else "assistant", "hot" if k == 0 else f"answer {i % 40}" if k == 1 else f"t{i}") for i in range(3_000) for k in range(3)]
+    df = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string")
+    tree = chat.formatted_tree(df, 20_000, 64).cache()
+    assert tree.groupBy("segment").agg(F.sum(F.size("conv_ids")).alias("n"), F.sum("n_tokens").alias("c")).where("n > 64 or c > 21000").count() == 0
+    fresh = Counter(r.formatted for r in tree.where("not repeated").collect())
+    tasks = len({r.segment.split("-")[0] for r in tree.select("segment").collect()})
+    assert fresh["### user: hot</turn>\n"] <= tasks and all(n <= 2 for x, n in fresh.items() if "answer" in x and tasks <= 4)
+    whole = chat.formatted_tree(df, None, None).cache()
+    count = Counter(r.formatted for r in whole.collect())
+    assert count["### user: hot</turn>\n"] == 1 and all(count[f"### assistant: answer {i}</turn>\n"] == 1 for i in range(40)) and whole.where("repeated").count() == 0
+    read = lambda t: sorted(map(tuple, chat.read_back(t).collect()))
+    assert read(tree) == read(whole) and len(read(tree)) == 3_000
+    assert chat.formatted_tree(df.limit(0)).collect() == [] and chat.read_back(chat.formatted_tree(df.limit(0), None, None)).collect() == []
+
+
 def test_escapes_hold_any_text():
     rng = random.Random(6)
     parts = ["\\", "#", "### ", "</turn>", "<", "/turn>", ":", " ", "\n", "user", "é", "<\\/turn>"]
