@@ -374,3 +374,52 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     assert bad == {102}
     assert {i: t.split() for i, t in got.items()} == {i: w for i, w in final.items() if i not in bad}
     assert len(got[104].split()) == 70
+
+
+def test_pipeline_on_empty_and_clashing_tables(spark, tmp_path):
+    """No rows at all; and rows with missing ids, texts and extra columns named like those inside."""
+    import corpus_pipeline
+    from tests.llm.test_text_operators import CLASHES
+
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    item = " ".join(f"k{i}" for i in range(30))
+    rows = [(i, f"the river and the house number w{i} was very green in the late summer of year {i} they said", "en", "a", 9) for i in range(30)]
+    rows += [(None, f"the green house {item} and the river", "en", "a", 9), (5, f"the house and {item} of the river", "en", "b", 9), (None, None, "en", None, None), (7, "", "en", None, 0)]
+    for where, some_rows in (("none", []), ("few", rows)):
+        df = spark.createDataFrame(some_rows, names).withColumns({c: F.lit("x") for c in CLASHES})
+        df.write.parquet(f"{tmp_path}/{where}/documents.parquet")
+        spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/{where}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    got = corpus_pipeline.run(spark, f"{tmp_path}/few").collect()
+    assert sorted(r.doc_id for r in got) == list(range(30))
+    docs = spark.read.parquet(f"{tmp_path}/few/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, f"{tmp_path}/few").columns == docs.columns
+
+
+def test_working_tables_go(spark):
+    from pathlib import Path
+
+    from traceweft.llm import durable
+
+    since = durable.mark()
+    t = durable.Tables(spark, "trial")
+    t.keep("a", spark.range(3))
+    t.keep("b", spark.range(3))
+    base = Path(t.base.removeprefix("file://"))
+    t.drop("a")
+    assert sorted(p.name for p in base.iterdir() if not p.name.startswith(".")) == ["b"]
+    durable.release(since)
+    assert not base.exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from traceweft.llm import durable
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        durable.shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    kept = SimpleNamespace(get=lambda key, default=None: "hdfs://a/b/")
+    assert durable.shared_folder(SimpleNamespace(conf=kept, sparkContext=SimpleNamespace(master="yarn"))) == "hdfs://a/b"

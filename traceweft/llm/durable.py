@@ -77,8 +77,8 @@ def mark() -> int:
     return len(_live)
 
 
-def release(since: int = 0) -> None:
-    """Deletes the working tables of all operators called after a mark; for when their results are written or collected."""
-    for t in _live[since:]:
+def release(since: int = 0, but: Tables | None = None) -> None:
+    """Deletes the working tables of all operators called after a mark, but for one; for when their results are written or collected."""
+    for t in [t for t in _live[since:] if t is not but]:
         t._on(t.base, "delete", True)
-    del _live[since:]
+        _live.remove(t)
