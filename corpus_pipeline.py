@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceweft.llm import decontam, langid, near_dup, substring, unigram
-from traceweft.llm.durable import Tables
+from traceweft.llm.durable import Tables, mark, release
 from traceweft.llm.queries import PIECES
 
 #: Similarity of near duplicates, as a percentage.
@@ -41,7 +41,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Each row is judged by its own text, so of rows that share a doc_id, or have none, only those that hold an
+    item go. Null and empty texts hold none; long texts are searched whole; without a benchmark all stay.
+    """
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
     pairs = decontam.contaminated(docs.select(key.alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
     bad = pairs.select(F.col("doc_id").alias("bad")).distinct()
@@ -49,7 +53,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, and the text that they decode to."""
+    """Piece ids of each text, and the text that they decode to.
+
+    Every row gives one, repeated or not; a null or empty text has no pieces and decodes to an empty one.
+    """
     return unigram.encoded(docs, unigram.Model.load(PIECES))
 
 
@@ -66,9 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the table ``documents``."""
+    """Applies all stages to the table ``documents``; a stage's working tables go as soon as its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     t = Tables(spark, "pipeline")
+    done = None
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = t.keep(name, stage(spark, docs, sf_dir))
+        release(since, but=t)
+        if done:
+            t.drop(done)
+        done = name
     return STAGES[-1][1](spark, docs, sf_dir)
