@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from traceweft.operators.orderstats import quantiles
+
 
 def key_counts(df: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:
     """Distinct and non-null counts of each column per key, as <column>_unique and <column>_total."""
@@ -108,7 +110,7 @@ def per_source_counts(sources: dict[str, DataFrame], key: str) -> DataFrame:
 
 def upper_outliers(df: DataFrame, column: str, times: float = 1.5) -> DataFrame:
     """Rows above Q3 + times * (Q3 - Q1) of a column, with the bound."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(df, {"q": F.col(column)}, [0.25, 0.75])
     bound = q.select((F.col("q")[1] + times * (F.col("q")[1] - F.col("q")[0])).alias("bound"))
     return df.join(F.broadcast(bound)).where(F.col(column) > F.col("bound"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from traceweft.functions import special
-from traceweft.operators import stats
+from traceweft.operators import orderstats, stats
 
 
 def contingency(df: DataFrame, x: str, y: str, missing: str | None = None) -> DataFrame:
@@ -60,17 +60,18 @@ def information(df: DataFrame, x: str, y: str, missing: str | None = None) -> Da
 def adjusted_mutual_information(df: DataFrame, x: str, y: str) -> float:
     """Mutual information in nats, adjusted for chance by the hypergeometric expectation, over the mean entropy.
 
-    The margins come to the driver: one number per distinct value, meant for categorical columns.
+    Of the margins the driver gets how often each count occurs; counts that differ add up to the rows, so there
+    are at most sqrt(2 rows) of them.
     """
     c = contingency(df, x, y)
-    a = [int(r[0]) for r in c.select("x", "nx").distinct().select("nx").collect()]
-    b = [int(r[0]) for r in c.select("y", "ny").distinct().select("ny").collect()]
+    margins = lambda v, m: [(int(r[0]), r[1]) for r in c.select(v, m).distinct().groupBy(m).count().orderBy(m).collect()]
+    a, b = margins("x", "nx"), margins("y", "ny")
     s = information(df, x, y).first()
-    n = sum(a)
+    n = sum(i * k for i, k in a)
     lg = math.lgamma
     expected = 0.0
-    for i, ni in _grouped(a):
-        for j, nj in _grouped(b):
+    for i, ni in a:
+        for j, nj in b:
             for k in range(max(1, i + j - n), min(i, j) + 1):
                 lp = lg(i + 1) + lg(j + 1) + lg(n - i + 1) + lg(n - j + 1) - lg(n + 1) - lg(k + 1) - lg(i - k + 1) - lg(j - k + 1) - lg(n - i - j + k + 1)
                 expected += ni * nj * k / n * math.log(n * k / (i * j)) * math.exp(lp)
@@ -78,13 +79,6 @@ def adjusted_mutual_information(df: DataFrame, x: str, y: str) -> float:
     return (s["mi"] * math.log(2) - expected) / (mean - expected) if mean - expected else 1.0
 
 
-def _grouped(values: list[int]) -> list[tuple[int, int]]:
-    out: dict[int, int] = {}
-    for v in values:
-        out[v] = out.get(v, 0) + 1
-    return sorted(out.items())
-
-
 def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: F statistic and its degrees of freedom, from sums by group."""
     g = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
@@ -141,22 +135,88 @@ def target_type(df: DataFrame, target: str) -> str:
 
 
 def association(df: DataFrame, feature: str, target: str, row_id: str) -> dict:
-    """Test that suits the pair of types, with statistic, p and score min(1.2 * -log10 p, 15)."""
+    """Test that suits the pair of types, with statistic, p and score min(1.2 * -log10 p, 15).
+
+    A numeric target meets numbers by Spearman and texts by Kruskal-Wallis; a target of classes meets numbers by
+    ANOVA, or Alexander and Govern's test where variances differ, and texts by chi-square, or Fisher's exact test
+    in a 2 x 2 table with an expected count under 5.
+    """
     numeric = isinstance(df.schema[feature].dataType, T.NumericType)
     if target_type(df, target) == "numeric":
-        r = stats.spearman_pairs(df, [feature, target], row_id).first()["r"] or 0.0
-        n = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).count()
-        name, stat = "spearman", r
-        p = special.t_p(r * math.sqrt((n - 2) / max(1e-300, 1 - r * r)), n - 2) if n > 2 else 1.0
+        if numeric:
+            r = stats.spearman_pairs(df, [feature, target], row_id).first()["r"] or 0.0
+            n = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).count()
+            name, stat = "spearman", r
+            p = special.t_p(r * math.sqrt((n - 2) / max(1e-300, 1 - r * r)), n - 2) if n > 2 else 1.0
+        else:
+            s = kruskal(df, target, feature, row_id).first()
+            name, stat, p = "kruskal", s["h"] or 0.0, special.chi2_p(s["h"] or 0.0, s["dof"]) if s["dof"] else 1.0
     elif numeric:
-        s = anova(df, feature, target).first()
-        name, stat, p = "anova", s["f"] or 0.0, special.f_p(s["f"] or 0.0, s["d1"], s["d2"])
+        s = mean_test(df, feature, target)
+        name, stat, p = s["test"], s["statistic"], s["p"]
     else:
-        s = chi2(df, feature, target).first()
-        name, stat, p = "chi2", s["chi2"], special.chi2_p(s["chi2"], s["dof"])
+        s = independence(df, feature, target)
+        name, stat, p = s["test"], s["statistic"], s["p"]
     return {"feature": feature, "test": name, "statistic": stat, "p": p, "score": min(1.2 * -math.log10(max(p, 1e-300)), 15.0)}
 
 
+def independence(df: DataFrame, x: str, y: str) -> dict:
+    """Chi-square test; Fisher's exact one for a 2 x 2 table with an expected count under 5, whose statistic is the odds ratio."""
+    c = contingency(df, x, y).orderBy("x", "y").limit(5).collect()
+    rows, cols = sorted({r["nx"] for r in c}), sorted({r["ny"] for r in c})
+    s = chi2(df, x, y).first()
+    if s["r"] == s["k"] == 2 and rows[0] * cols[0] / s["total"] < 5:
+        first = min((str(r["x"]), str(r["y"])) for r in c)
+        n = {(str(r["x"]) == first[0], str(r["y"]) == first[1]): int(r["n"]) for r in c}
+        table = [n.get(k, 0) for k in ((True, True), (True, False), (False, True), (False, False))]
+        a, b, d, e = table
+        return {"test": "fisher", "statistic": a * e / (b * d) if b * d else math.inf, "p": fisher_p(*table)}
+    return {"test": "chi2", "statistic": s["chi2"] or 0.0, "p": special.chi2_p(s["chi2"] or 0.0, s["dof"]) if s["dof"] else 1.0}
+
+
+def fisher_p(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided p of a 2 x 2 table: what all tables of these margins that are no likelier have together."""
+    lg = math.lgamma
+    pick = lambda n, k: lg(n + 1) - lg(k + 1) - lg(n - k + 1)
+    row, col, n = a + b, a + c, a + b + c + d
+    logp = lambda k: pick(row, k) + pick(n - row, col - k) - pick(n, col)
+    own = logp(a)
+    return min(1.0, math.fsum(math.exp(logp(k)) for k in range(max(0, col - (n - row)), min(row, col) + 1) if logp(k) <= own + 1e-7))
+
+
+def binned(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
+    """The column as the number of its quantile bin, at most ``bins`` of them; equal edges are one, nulls stay."""
+    edges = sorted(set(orderstats.quantiles(df, {"q": F.col(column)}, [k / bins for k in range(1, bins)]).first()[0]) - {None})
+    place = F.lit(0)
+    for e in edges:
+        place = place + F.when(F.col(column) > F.lit(e), 1).otherwise(0)
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), place))
+
+
+def gain_ratio(df: DataFrame, feature: str, target: str, bins: int = 8) -> DataFrame:
+    """Information gain ratio of a feature, numbers by quantile bins; one row with mi and gain_ratio."""
+    if isinstance(df.schema[feature].dataType, T.NumericType):
+        df = binned(df.select(feature, target), feature, bins)
+    return information(df, feature, target).select("mi", "gain_ratio")
+
+
+#: Weights of the parts of the univariate score.
+UNIVARIATE = {"mi": 0.4, "f": 0.35, "chi2": 0.25}
+
+
+def univariate(df: DataFrame, features: list[str], target: str, bins: int = 8, rate: float = 0.05) -> DataFrame:
+    """Per numeric feature: mutual information with the classes, F and chi-square over quantile bins, the F test's p, the
+    weighted sum of what each is of its greatest, and whether p survives Benjamini and Hochberg's procedure."""
+    rows = []
+    for f in features:
+        a, cut = anova(df, f, target).first(), binned(df.select(f, target), f, bins)
+        rows.append((f, float(information(cut, f, target).first()["mi"] or 0.0), float(a["f"] or 0.0), float(chi2(cut, f, target).first()["chi2"] or 0.0), special.f_p(a["f"] or 0.0, a["d1"], a["d2"])))
+    out = df.sparkSession.createDataFrame(rows, "feature string, mi double, f double, chi2 double, p double")
+    top = out.agg(*[F.max(c).alias(f"_{c}") for c in UNIVARIATE])
+    score = sum((w * F.coalesce(F.col(c) / F.nullif(f"_{c}", F.lit(0.0)), F.lit(0.0)) for c, w in UNIVARIATE.items()), F.lit(0.0))
+    return false_discoveries(out.join(F.broadcast(top)).withColumn("score", score).drop(*[f"_{c}" for c in UNIVARIATE]), "p", rate)
+
+
 def cutoff(base: float, mode: str = "default", association: bool = False) -> float:
     """Score below which features go: default, conservative, aggressive."""
     factors = {"default": 1.0, "conservative": 2.0 if association else 0.1, "aggressive": 0.5 if association else 0.001}
@@ -197,9 +257,16 @@ def centrality(pairs: DataFrame, low: float = 0.2, high: float = 0.9) -> DataFra
     return both.groupBy("feature").agg(F.sum("r").alias("strength"), F.count(F.lit(1)).alias("degree"))
 
 
+def group_medians(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, _med): exact medians; groups are few by nature."""
+    groups = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().collect()]
+    q = orderstats.quantiles(df, {f"g{i}": F.when(F.col(group) == F.lit(g), F.col(value)) for i, g in enumerate(groups)}, [0.5]).first() if groups else []
+    return df.sparkSession.createDataFrame([(g, m[0]) for g, m in zip(groups, q)], T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("_med", T.DoubleType())]))
+
+
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """ANOVA of the distances from each group's median (Brown and Forsythe's form)."""
-    med = df.groupBy(group).agg(F.median(value).alias("_med"))
+    med = group_medians(df, value, group)
     return anova(df.join(F.broadcast(med), group).withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), "_dev", group)
 
 

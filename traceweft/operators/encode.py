@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from traceweft.operators.orderstats import quantiles
+
 
 def strategy(numeric: bool, temporal: bool, n_distinct: int) -> str:
     """Encoding by type and number of values."""
@@ -82,7 +84,7 @@ def standard_scaled(df: DataFrame, column: str, population: bool = False) -> Dat
 
 def robust_scaled(df: DataFrame, column: str) -> DataFrame:
     """Adds <column>_enc: (x - median) / IQR, or only centred where the IQR vanishes; nulls count as the median."""
-    a = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    a = quantiles(df, {"_q": F.col(column)}, [0.25, 0.5, 0.75])
     iqr = F.col("_q")[2] - F.col("_q")[0]
     z = F.coalesce(F.col(column).cast("double"), F.col("_q")[1]) - F.col("_q")[1]
     return df.join(F.broadcast(a)).withColumn(f"{column}_enc", F.when(iqr > 1e-10, z / iqr).otherwise(z)).drop("_q")
@@ -90,7 +92,7 @@ def robust_scaled(df: DataFrame, column: str) -> DataFrame:
 
 def numeric_preserved(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column).cast("string").try_cast("double")
-    return df.join(F.broadcast(df.agg(F.median(x).alias("_m")))).withColumn(f"{column}_enc", F.coalesce(x, F.col("_m"))).drop("_m")
+    return df.join(F.broadcast(quantiles(df, {"_m": x}, [0.5]))).withColumn(f"{column}_enc", F.coalesce(x, F.col("_m")[0])).drop("_m")
 
 
 def missing_treatment(n_null: Column, null_pct: Column, numeric: Column) -> Column:
@@ -116,7 +118,7 @@ def treat_missing(df: DataFrame, column: str, method: str, order: list[str] | No
         w = Window.partitionBy(*([key] if key else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
     if method in ("median", "flag_and_median", "mode"):
-        fill = df.agg((F.mode(column, True) if method == "mode" else F.median(column)).alias("_v"))
+        fill = df.agg(F.mode(column, True).alias("_v")) if method == "mode" else quantiles(df, {"_v": c}, [0.5]).select(F.col("_v")[0].alias("_v"))
         out = df.withColumn(f"{column}_missing", c.isNull().cast("int")) if method == "flag_and_median" else df
         return out.join(F.broadcast(fill)).withColumn(column, F.coalesce(c, F.col("_v"))).drop("_v")
     raise ValueError(f"unknown treatment {method}")
@@ -149,7 +151,7 @@ def vectorised(df: DataFrame, columns: list[str], n_distinct: dict[str, int], th
 def clipped(df: DataFrame, column: str) -> DataFrame:
     """Infinities to null, then clipped to the 0.5 and 99.5 percentiles widened by 1.5 times their distance, then the median for nulls."""
     x = F.when(F.abs(F.col(column).cast("double")) < float("inf"), F.col(column).cast("double"))
-    a = df.agg(F.percentile(x, F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995))).alias("_q"))
+    a = quantiles(df, {"_q": x}, [0.005, 0.5, 0.995])
     wide = 1.5 * (F.col("_q")[2] - F.col("_q")[0])
     return df.join(F.broadcast(a)).withColumn(f"{column}_enc", F.greatest(F.least(F.coalesce(x, F.col("_q")[1]), F.col("_q")[2] + wide), F.col("_q")[0] - wide)).drop("_q")
 

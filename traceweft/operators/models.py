@@ -16,6 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from traceweft.operators.orderstats import running
+
+
+#: Rows in one bucket of a permutation.
+PERMUTED = 100_000
+
 
 def assembled(features: list[str], impute: bool = False) -> list:
     """Stages that make the column ``features``; with ``impute`` nulls become means, else such rows are skipped."""
@@ -93,19 +99,28 @@ def coefficients(model: PipelineModel, features: list[str]) -> list[tuple[str, f
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, row_id: str, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Loss of balanced accuracy when a feature's values are dealt to other rows; rows and values meet by hash rank."""
+    """Loss of balanced accuracy when a feature's values are dealt to other rows by hashes of their ids, bucket by bucket."""
 
     def balanced(scored: DataFrame) -> float:
         per = scored.groupBy(label).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("r"))
         return per.agg(F.avg("r")).first()[0]
 
     base = balanced(model.transform(df))
-    own = df.withColumn("_p", F.row_number().over(Window.orderBy(row_id)))
-    rows = []
+    # rows are numbered inside buckets of a hash, on top of the buckets before; so no task sorts the table
+    size, rows = max(1, -(-df.count() // PERMUTED)), []
+
+    def numbered(x: DataFrame, k: int) -> DataFrame:
+        x = x.withColumns({"_b": F.pmod(F.xxhash64(row_id, F.lit(k)), F.lit(size)), "_o": F.xxhash64(row_id, F.lit(k), F.lit(1))})
+        counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+        before = counts.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_b").orderBy("_o", row_id)) + F.col("_before")
+        return x.join(F.broadcast(before), "_b").withColumn("_p", place).drop("_b", "_o", "_before")
+
+    own = numbered(df, seed)
     for f in features:
         drops = []
         for k in range(repeats):
-            dealt = df.select(F.col(f).alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64(row_id, F.lit(seed + k)), row_id)).alias("_p"))
+            dealt = numbered(df.select(row_id, F.col(f).alias("_v")), seed + k + 1).select("_p", "_v")
             drops.append(base - balanced(model.transform(own.join(dealt, "_p").withColumn(f, F.col("_v")).drop("_v", "_p"))))
         mean = sum(drops) / repeats
         spread = (sum((x - mean) ** 2 for x in drops) / repeats) ** 0.5
@@ -173,12 +188,12 @@ def overall(report: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve of a 0/1 label by average ranks, from counts per score."""
     c = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count_if(F.col(label) == 0).cast("double").alias("q"))
-    below = F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    x = c.select("p", "q", F.coalesce(below, F.lit(0.0)).alias("b"))
+    x = running(c, "s", {"upto": "q"}).select("p", "q", (F.col("upto") - F.col("q")).alias("b"))
     return x.agg((F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0))).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     c = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    w, a = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return c.select("threshold", (F.sum("q").over(w) / F.sum("q").over(a)).alias("fpr"), (F.sum("p").over(w) / F.sum("p").over(a)).alias("tpr"))
+    total = c.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
+    run = running(c, "threshold", {"up": "p", "uq": "q"}, descending=True).join(F.broadcast(total))
+    return run.select("threshold", (F.col("uq") / F.col("tq")).alias("fpr"), (F.col("up") / F.col("tp")).alias("tpr"))

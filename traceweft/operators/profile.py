@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from traceweft.operators.orderstats import quantiles, running
+
 #: Parts of a name that hint at an identifier.
 ID_WORDS = ("id", "key", "number", "serial", "uuid")
 #: Columns that rules never propose to drop.
@@ -183,9 +185,9 @@ def harmonised(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFram
     texts = [c for c in cols if isinstance(train.schema[c].dataType, T.StringType) and c != target]
     finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
     both = train.select(*[finite(c).alias(c) for c in numeric]).unionByName(test.select(*[finite(c).alias(c) for c in numeric]))
-    medians = both.agg(*[F.median(c).alias(f"_{c}") for c in numeric])
+    medians = quantiles(both, {f"_{c}": F.col(c) for c in numeric}, [0.5]) if numeric else both.agg(F.lit(1).alias("_"))
     order = [c for c in [target, *sorted(x for x in cols if x != target)] if c in cols]
-    fix = lambda df: df.join(F.broadcast(medians)).withColumns({c: F.coalesce(finite(c), F.col(f"_{c}")) for c in numeric} | {c: F.coalesce(c, F.lit("MISSING")) for c in texts}).select(*order)
+    fix = lambda df: df.join(F.broadcast(medians)).withColumns({c: F.coalesce(finite(c), F.col(f"_{c}")[0]) for c in numeric} | {c: F.coalesce(c, F.lit("MISSING")) for c in texts}).select(*order)
     return fix(train), fix(test)
 
 
@@ -208,8 +210,7 @@ def ks_distance(a: DataFrame, b: DataFrame, c: str) -> DataFrame:
     both = a.select(F.col(c).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.col(c).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
     steps = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sizes = steps.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select(F.sum("a").over(w).alias("ra"), F.sum("b").over(w).alias("rb")).join(F.broadcast(sizes))
+    run = running(steps, "x", {"ra": "a", "rb": "b"}).select("ra", "rb").join(F.broadcast(sizes))
     return run.groupBy("na", "nb").agg(F.max(F.abs(F.col("ra") / F.col("na") - F.col("rb") / F.col("nb"))).alias("ks"))
 
 

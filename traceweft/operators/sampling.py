@@ -24,10 +24,25 @@ def at_most_keys(df: DataFrame, key: str, n: int, seed="") -> DataFrame:
     return df.join(sample_keys(df, key, n, seed, strict=False), key, "left_semi")
 
 
+def hash_ranked(df: DataFrame, label: str, row_id: str, seed="") -> DataFrame:
+    """Adds _rn, the rank of a row in the hash order of its class, and _n, the class's rows.
+
+    Classes are cut by the first four digits of the hash, whose counts give the ranks that lie before each part;
+    so no task sorts a whole class.
+    """
+    part = df.withColumn("_h", hash_order(F.col(row_id), seed)).withColumn("_part", F.substring("_h", 1, 4))
+    counts = part.groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(label)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(label).alias("_l"), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    ranked = part.withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", row_id)))
+    met = ranked.join(offsets, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_part") == F.col("_p")))
+    return met.withColumn("_rn", F.col("_rn") + F.col("_before")).drop("_h", "_part", "_l", "_p", "_before")
+
+
 def per_class(df: DataFrame, label: str, row_id: str, quota: Column | int, seed="") -> DataFrame:
     """Up to ``quota`` rows of each class, in hash order; a quota may depend on the label."""
-    w = Window.partitionBy(label).orderBy(hash_order(F.col(row_id), seed), row_id)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= quota).drop("_rn")
+    return hash_ranked(df, label, row_id, seed).where(F.col("_rn") <= quota).drop("_rn", "_n")
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -48,11 +63,10 @@ def resample(df: DataFrame, label: str, row_id: str, targets: dict, seed="", cop
     Copies are told apart by ``copy`` (0: the row itself).
     """
     counts = class_counts(df, label)
-    w = Window.partitionBy(label).orderBy(hash_order(F.col(row_id), seed), row_id)
     n, t = by_label(label, counts, 1), by_label(label, targets, 0)
     times = F.floor(t / n).cast("int") + F.when(F.col("_rn") <= t % n, 1).otherwise(0)
-    out = df.where(F.col(label).isin(list(targets))).withColumn("_rn", F.row_number().over(w)).withColumn("_times", times).where("_times > 0")
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_rn", "_times")
+    out = hash_ranked(df.where(F.col(label).isin(list(targets))), label, row_id, seed).withColumn("_times", times).where("_times > 0")
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_rn", "_n", "_times")
 
 
 def minority_preserving_targets(counts: dict, budget: int = 150_000, whole: int = 5_000) -> dict:
@@ -96,8 +110,7 @@ def balance_by_key(df: DataFrame, key: str, state: str, marked: list, zero, rati
 
     classes = key_classes(df, key, state, marked, zero)
     n = classes.agg(F.count_if("marked").alias("m"))
-    w = Window.partitionBy("marked").orderBy(hash_order(F.col(key), seed), key)
-    ranked = classes.where("marked or zero_only").withColumn("_rn", F.row_number().over(w)).join(F.broadcast(n))
+    ranked = hash_ranked(classes.where("marked or zero_only"), "marked", key, seed).join(F.broadcast(n))
     keep = ranked.where(F.col("marked") | (F.col("_rn") <= F.floor(F.col("m") * ratio))).select(key)
     return df.join(keep, key, "left_semi")
 
@@ -134,10 +147,7 @@ def split_report(split: DataFrame, label: str, ts: str) -> DataFrame:
 
 def class_random_split(df: DataFrame, label: str, row_id: str, ratio: float, seed="") -> DataFrame:
     """Adds split: int(n * ratio) rows of each class by hash rank are test."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(hash_order(F.col(row_id), seed), row_id))
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("split", F.when(rank <= F.floor(n * ratio), "test").otherwise("train"))
+    return hash_ranked(df, label, row_id, seed).withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * ratio), "test").otherwise("train")).drop("_rn", "_n")
 
 
 def day_groups(df: DataFrame, ts: str, n: int) -> DataFrame:

@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from traceweft.operators.orderstats import quantiles, running
 from traceweft.operators.profile import unpivoted
 
 
+def long_quantiles(df: DataFrame, of: dict[str, Column], points: list[float]) -> DataFrame:
+    """(column, q): the array of exact quantiles of each, one small row a column."""
+    q = quantiles(df, of, points)
+    return q.unpivot([], q.columns, "column", "q")
+
+
 def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, x) of all non-null numbers."""
     return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "x").where("x is not null")
@@ -25,9 +32,10 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     s = numbers(df, columns).groupBy("column").agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
-        F.count_if(F.col("x") == 0).alias("n_zero"), F.count_if(F.col("x") < 0).alias("n_negative"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+        F.count_if(F.col("x") == 0).alias("n_zero"), F.count_if(F.col("x") < 0).alias("n_negative"),
     )
-    return s.select(
+    q = long_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    return s.join(F.broadcast(q), "column").select(
         "column", "n", "mean", "sd", "n_zero", "n_negative",
         F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
         F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"),
@@ -36,10 +44,10 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def deviations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Median absolute deviation per column, in two aggregations."""
-    u = numbers(df, columns)
-    med = u.groupBy("column").agg(F.median("x").alias("median"))
-    return u.join(F.broadcast(med), "column").groupBy("column").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
+    """Median absolute deviation per column, about exact medians."""
+    m = quantiles(df, {f"_{c}": F.col(c) for c in columns}, [0.5])
+    far = {c: F.abs(F.col(c).cast("double") - F.col(f"_{c}")[0]) for c in columns}
+    return long_quantiles(df.select(*columns).join(F.broadcast(m)), far, [0.5]).select("column", F.col("q")[0].alias("mad"))
 
 
 def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,14 +59,14 @@ def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, column: str, points: list[float]) -> DataFrame:
-    q = df.agg(F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("q"))
+    q = quantiles(df, {"q": F.col(column)}, points)
     return q.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in points]).alias("p"), F.col("q"))).alias("z")).select(F.col("z.p").alias("p"), F.col("z.q").alias("value"))
 
 
 def trimmed_mean(df: DataFrame, column: str, cut: float = 0.1) -> DataFrame:
     """Mean without the lowest and highest int(cut * n) values; from counts per value, so nothing is sorted row by row."""
     c = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    run = c.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    run = running(c, "x", {"upto": "n"})
     total = c.agg(F.sum("n").alias("t")).withColumn("k", F.floor(F.col("t") * cut))
     w = F.greatest(F.least("upto", F.col("t") - F.col("k")) - F.greatest(F.col("upto") - F.col("n"), F.col("k")), F.lit(0))
     return run.join(F.broadcast(total)).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("trimmed_mean"))
@@ -87,8 +95,8 @@ def ranked(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     out = df.select(row_id, *columns)
     for c in columns:
         v = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        out = out.join(v.select(c, (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c, "left")
+        v = running(v, c, {"_upto": "_n"})
+        out = out.join(v.select(c, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c, "left")
     return out.select(row_id, *[F.col(f"_r_{c}").alias(c) for c in columns])
 
 
@@ -103,7 +111,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     below each value of y score them. Groups add up in blocks of ranks, so that no task holds a whole column.
     """
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    place = lambda c: cells.select(c).distinct().select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias(f"r{c}"))
+    place = lambda c: running(cells.select(c).distinct().withColumn("one", F.lit(1)), c, {"r": "one"}).select(c, (F.col("r") - 1).cast("int").alias(f"r{c}"))
     px, py = place("x"), place("y")
     bits = max((px.agg(F.max("rx")).first()[0] or 0).bit_length(), 1)
     placed = cells.join(px, "x").join(py, "y").withColumn("bit", F.explode(F.array(*[F.lit(b) for b in range(bits)])))
@@ -130,25 +138,48 @@ def relationship(pearson: Column, spearman: Column) -> Column:
     return F.when((F.abs(pearson) > 0.7) & (F.abs(spearman) > 0.7), "linear").when(F.abs(spearman) - F.abs(pearson) > 0.1, "monotonic").when(F.abs(pearson) - F.abs(spearman) > 0.1, "outlier_driven").otherwise("weak")
 
 
-def outlier_flags(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    """Per row the verdicts of four detectors and whether three agree: IQR, z-score, modified z-score, farthest tenth by robust distance."""
-    x = df.select(row_id, F.col(column).cast("double").alias("x"))
-    a = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+def outlier_flags(df: DataFrame, column: str, row_id: str, trees: int = 100) -> DataFrame:
+    """Per row the verdicts of five detectors and whether three agree.
+
+    IQR, z-score, modified z-score, isolation forest, and the farthest tenth by robust distance (the elliptic
+    envelope of one dimension); the last two take the tenth that is oddest.
+    """
+    from traceweft.operators.isolation import isolation_scores
+
+    x = isolation_scores(df.select(row_id, F.col(column).cast("double").alias("x")), "x", trees)
+    a = x.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).join(quantiles(x, {"q": F.col("x"), "i": F.col("isolation")}, [0.25, 0.5, 0.75, 0.9]))
     dev = x.join(F.broadcast(a)).withColumn("dev", F.abs(F.col("x") - F.col("q")[1]))
-    b = dev.agg(F.percentile("dev", F.array(F.lit(0.5), F.lit(0.9))).alias("d"))
-    j = dev.join(F.broadcast(b))
+    j = dev.join(F.broadcast(quantiles(dev, {"d": F.col("dev")}, [0.5, 0.9])))
     iqr = F.col("q")[2] - F.col("q")[0]
     flags = j.select(
         row_id,
         ((F.col("x") < F.col("q")[0] - 1.5 * iqr) | (F.col("x") > F.col("q")[2] + 1.5 * iqr)).alias("iqr"),
         (F.abs(F.col("x") - F.col("mean")) > 3 * F.col("sd")).alias("zscore"),
         (0.6745 * F.col("dev") > 3.5 * F.col("d")[0]).alias("modified_z"),
+        (F.col("isolation") > F.col("i")[3]).alias("isolated"),
         (F.col("dev") > F.col("d")[1]).alias("farthest"),
     )
-    votes = sum((F.col(c).cast("int") for c in ("iqr", "zscore", "modified_z", "farthest")), F.lit(0))
+    votes = sum((F.col(c).cast("int") for c in ("iqr", "zscore", "modified_z", "isolated", "farthest")), F.lit(0))
     return flags.withColumn("consensus", votes >= 3)
 
 
+def kolmogorov_smirnov(df: DataFrame, column: str) -> DataFrame:
+    """One-sample distance to the normal law with the column's own mean and deviation, and whether it is under 1.36 / sqrt(n)."""
+    v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    total = df.agg(F.count(column).cast("double").alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
+    r = running(v, "x", {"upto": "m"}).join(F.broadcast(total))
+    p = normal_cdf((F.col("x") - F.col("mean")) / F.col("sd"))
+    gap = F.greatest(F.col("upto") / F.col("n") - p, p - (F.col("upto") - F.col("m")) / F.col("n"))
+    return r.agg(F.max(gap).alias("ks"), F.max("n").alias("n")).select("ks", (F.col("ks") < 1.36 / F.sqrt("n")).alias("normal"))
+
+
+def normal_cdf(z: Column) -> Column:
+    """Distribution function of the normal law, by a rational form of erf good to 1e-7."""
+    t = 1 / (1 + 0.3275911 * F.abs(z) / 1.4142135623730951)
+    erf = 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-z * z / 2)
+    return 0.5 + 0.5 * F.signum(z) * erf
+
+
 def missing_patterns(df: DataFrame, top: int = 10) -> DataFrame:
     """Commonest masks of null columns."""
     mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in df.columns])
@@ -218,13 +249,9 @@ def anderson_darling(df: DataFrame, column: str) -> DataFrame:
     """
     v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("m"))
     total = df.agg(F.count(column).cast("double").alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
-    upto = F.sum("m").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     z = (F.col("x") - F.col("mean")) / F.col("sd")
-    # the normal distribution function through its logistic series is too coarse; erf by a rational form good to 1e-7
-    t = 1 / (1 + 0.3275911 * F.abs(z) / 1.4142135623730951)
-    erf = 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-z * z / 2)
-    p = F.greatest(F.least(0.5 + 0.5 * F.signum(z) * erf, F.lit(1 - 1e-12)), F.lit(1e-12))
-    r = v.withColumn("upto", upto).join(F.broadcast(total)).withColumn("p", p)
+    p = F.greatest(F.least(normal_cdf(z), F.lit(1 - 1e-12)), F.lit(1e-12))
+    r = running(v, "x", {"upto": "m"}).join(F.broadcast(total)).withColumn("p", p)
     m, k, n = F.col("m"), F.col("upto"), F.col("n")
     low = m * (2 * k - m)  # sum of 2i - 1 over the m ranks that end at k
     high = m * (2 * (n - k) + m)

@@ -147,9 +147,13 @@ def _(s, d):
     return table(s, d, "lineitem").groupBy("l_suppkey").agg(F.avg((F.col("l_returnflag") == "R").cast("int")).alias("mean_label")).orderBy(F.desc("mean_label"), "l_suppkey")
 
 
-@query("agg19_key_classes", "SELECT user_id, bool_or(event_type IN ('error')) AS marked, bool_and(event_type = 'view') AS zero_only, count(*) AS n_rows FROM events WHERE value > 60 GROUP BY 1")
+@query(
+    "agg19_key_classes",
+    "WITH e AS (SELECT user_id, CASE WHEN event_type = 'error' AND value > 220 THEN 'bad' WHEN event_type = 'view' THEN 'seen' ELSE 'good' END AS state FROM events) SELECT user_id, bool_or(state = 'bad') AS marked, bool_and(state = 'good') AS zero_only, count(*) AS n_rows FROM e GROUP BY 1",
+)
 def _(s, d):
-    return A.key_classes(table(s, d, "events").where("value > 60"), "user_id", "event_type", ["error"], "view")
+    state = F.when((F.col("event_type") == "error") & (F.col("value") > 220), "bad").when(F.col("event_type") == "view", "seen").otherwise("good")
+    return A.key_classes(table(s, d, "events").withColumn("state", state), "user_id", "state", ["bad"], "good")
 
 
 @query("agg20_state_keys", "SELECT event_type, count(DISTINCT user_id) AS n_keys, count(*) AS n_rows FROM events GROUP BY 1")

@@ -9,12 +9,12 @@ from traceweft.plans import pipeline as R
 from traceweft.plans.registry import query, table
 
 #: Lines with a label and two deterministic pseudo-probabilities.
-_SCORED = "(SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey % 3)::INTEGER AS y, ((l_orderkey % 3 = 1)::INT * 0.35 + (l_partkey % 50) / 100.0)::DOUBLE AS p1, ((l_orderkey % 3 = 2)::INT * 0.5 + (l_suppkey % 50) / 100.0)::DOUBLE AS p2 FROM lineitem WHERE l_linenumber = 1)"
+_SCORED = "(SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey % 3)::INTEGER AS y, ((l_orderkey % 3 = 1)::INT * 0.35 + (l_partkey % 50) / 100.0)::DOUBLE AS p1, ((l_orderkey % 3 = 2)::INT * 0.5 + (l_suppkey % 50) / 100.0)::DOUBLE AS p2 FROM lineitem)"
 
 
 def scored(s, d):
     o = F.col("l_orderkey") % 3
-    return table(s, d, "lineitem").where("l_linenumber = 1").select(
+    return table(s, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", o.cast("int").alias("y"),
         F.round((o == 1).cast("int") * 0.35 + (F.col("l_partkey") % 50) / 100, 2).alias("p1"), F.round((o == 2).cast("int") * 0.5 + (F.col("l_suppkey") % 50) / 100, 2).alias("p2"),
     )
@@ -82,8 +82,9 @@ def _(s, d):
 
 def training(s, d):
     """Lines with a label that quantity and discount explain in part."""
-    x = table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), "l_quantity", "l_discount", "l_tax", "l_extendedprice", ((F.col("l_quantity") * (1 + 4 * F.col("l_discount")) + F.col("l_partkey") % 7) > 35).cast("double").alias("label"))
-    return x.where("id % 5 <> 0"), x.where("id % 5 = 0")
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    x = table(s, d, "lineitem").select(key.alias("id"), "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice", ((F.col("l_quantity") * (1 + 4 * F.col("l_discount")) + F.col("l_partkey") % 7) > 35).cast("double").alias("label"))
+    return x.where("l_orderkey % 5 <> 0"), x.where("l_orderkey % 5 = 0")
 
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -112,13 +113,13 @@ def _(s, d):
 @query("mdl01_lasso")
 def _(s, d):
     train, _test = training(s, d)
-    model = M.lasso_cv(train, _FEATURES[:3], "label", [0.001, 0.01, 0.1], folds=2)
-    return s.createDataFrame(M.coefficients(model, _FEATURES[:3]), "feature string, weight double")
+    model = M.lasso_cv(train, _FEATURES, "label", [0.001, 0.01, 0.1], folds=2)
+    return s.createDataFrame(M.coefficients(model, _FEATURES), "feature string, weight double")
 
 
 @query("mdl17_regularisation_path")
 def _(s, d):
-    return M.regularisation_path(training(s, d)[0], _FEATURES[:3], "label", [0.001, 0.01, 0.1])
+    return M.regularisation_path(training(s, d)[0], _FEATURES, "label", [0.001, 0.01, 0.1])
 
 
 @query("mdl11_leaderboard")
@@ -131,7 +132,7 @@ def _(s, d):
 @query("imp01_permutation_importance")
 def _(s, d):
     train, test = training(s, d)
-    return M.permutation_importance(M.random_forest(_FEATURES, "label", trees=10, depth=5).fit(train), test, _FEATURES[:2], "label", "id", repeats=2)
+    return M.permutation_importance(M.random_forest(_FEATURES, "label", trees=10, depth=5).fit(train), test, _FEATURES, "label", "id", repeats=2)
 
 
 @query(
@@ -159,12 +160,15 @@ def _(s, d):
 
 @query(
     "orc06_counts_add_up",
-    "SELECT true AS complete",
+    "SELECT 'all' AS counted, (SELECT sum(n) FROM (SELECT count(*) AS n FROM events GROUP BY event_type))::BIGINT AS n, (SELECT count(*) FROM events) AS n_rows, true AS complete UNION ALL SELECT 'late', (SELECT count(*) FROM events WHERE value > 50), (SELECT count(*) FROM events), (SELECT count(*) FROM events WHERE value > 50) = (SELECT count(*) FROM events)",
 )
 def _(s, d):
     e = table(s, d, "events")
-    counted = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.sum("n").alias("n")).join(e.agg(F.count(F.lit(1)).alias("m"))).select((F.col("n") == F.col("m")).alias("complete"))
+    rows = []
+    for name, part in (("all", e), ("late", e.where("value > 50"))):
+        counted = part.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+        rows.append((name, counted.agg(F.sum("n")).first()[0] or 0, e.count(), R.counts_add_up(e, counted)))
+    return s.createDataFrame(rows, "counted string, n long, n_rows long, complete boolean")
 
 
 @query(

@@ -8,16 +8,13 @@ from traceweft.operators import balance as B
 from traceweft.operators import sampling as P
 from traceweft.plans.registry import query, table
 
-#: A derived label with one rare and one very rare class, as test tables are balanced.
-RARE = "CASE WHEN l_quantity >= 49 AND l_discount >= 0.10 THEN 2 WHEN l_quantity >= 47 THEN 1 ELSE 0 END"
-
-
 def rare(s, d):
-    """One row per line with an id and the derived label."""
-    return table(s, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]).where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), "l_shipdate", (F.when(F.col("l_orderkey") % 101 == 0, 2).when(F.col("l_orderkey") % 17 == 0, 1).otherwise(0)).alias("label"))
+    """One row per order with its id and a label that has one rare and one very rare class, as test tables are balanced."""
+    key = F.col("o_orderkey")
+    return table(s, d, "orders").select(key.alias("id"), F.when(key % 101 == 0, 2).when(key % 17 == 0, 1).otherwise(0).alias("label"))
 
 
-_RARE = "(SELECT DISTINCT l_orderkey AS id, CASE WHEN l_orderkey % 101 = 0 THEN 2 WHEN l_orderkey % 17 = 0 THEN 1 ELSE 0 END AS label FROM lineitem WHERE l_linenumber = 1)"
+_RARE = "(SELECT o_orderkey AS id, CASE WHEN o_orderkey % 101 = 0 THEN 2 WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS label FROM orders)"
 _RANK = f"(SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(id::VARCHAR), id) AS r, count(*) OVER (PARTITION BY label) AS n FROM {_RARE})"
 
 
@@ -33,12 +30,13 @@ def _(s, d):
 
 @query(
     "smp03_balance_by_key",
-    """WITH k AS (SELECT user_id, bool_or(event_type = 'error') AS marked, bool_and(event_type = 'view') AS zero_only FROM events WHERE value > 45 GROUP BY 1),
-    r AS (SELECT *, row_number() OVER (PARTITION BY marked ORDER BY md5(user_id::VARCHAR), user_id) AS r, (SELECT count(*) FROM k WHERE marked) AS m FROM k WHERE marked OR zero_only)
-    SELECT event_id, user_id FROM events WHERE value > 45 AND user_id IN (SELECT user_id FROM r WHERE marked OR r <= m * 1)""",
+    """WITH e AS (SELECT *, CASE WHEN event_type = 'error' AND value > 220 THEN 'bad' ELSE 'good' END AS state FROM events), k AS (SELECT user_id, bool_or(state = 'bad') AS marked FROM e GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY marked ORDER BY md5(user_id::VARCHAR), user_id) AS r, (SELECT count(*) FROM k WHERE marked) AS m FROM k)
+    SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM r WHERE marked OR r <= m * 1)""",
 )
 def _(s, d):
-    return P.balance_by_key(table(s, d, "events").where("value > 45"), "user_id", "event_type", ["error"], "view", 1).select("event_id", "user_id")
+    e = table(s, d, "events").withColumn("state", F.when((F.col("event_type") == "error") & (F.col("value") > 220), "bad").otherwise("good"))
+    return P.balance_by_key(e, "user_id", "state", ["bad"], "good", 1).select("event_id", "user_id")
 
 
 @query("smp05_at_most_keys", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5(user_id::VARCHAR), user_id LIMIT 12)")
@@ -71,8 +69,7 @@ query("smp07_minority_preserving", _resampled_sql("CASE WHEN label > 0 THEN n EL
 query("smp08_custom_ratios", _resampled_sql("CASE label WHEN 0 THEN 600 WHEN 1 THEN 250 ELSE 150 END"))(_resampled(lambda c: P.ratio_targets(c, {0: 60, 1: 25, 2: 15}, 1000)))
 query("smp09_minority_boost", _resampled_sql("CASE label WHEN 0 THEN 8000 ELSE 2000 END"))(_resampled(lambda c: P.minority_boost_targets(c, 9000)))
 query("smp10_balanced", _resampled_sql("300"))(_resampled(lambda c: P.balanced_targets(c, 900)))
-query("smp11_proportional", _resampled_sql("least(greatest(1000.0::DOUBLE * n / (SELECT count(*) FROM " + _RARE + "), least(100, n)), 800, n)::DOUBLE::BIGINT").replace("::DOUBLE::BIGINT", "")
-      .replace("AS t FROM", "AS tt FROM").replace("WITH t AS (", "WITH t AS (SELECT *, floor(tt)::BIGINT AS t FROM (").replace(") SELECT id, label, c", ")) SELECT id, label, c"))(_resampled(lambda c: P.proportional_targets(c, 1000)))
+query("smp11_proportional", _resampled_sql("floor(least(greatest(1000.0::DOUBLE * n / (SELECT count(*) FROM " + _RARE + "), least(100, n)), 800, n))::BIGINT"))(_resampled(lambda c: P.proportional_targets(c, 1000)))
 
 
 _SPLIT = """WITH r AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events),

@@ -42,9 +42,12 @@ def _(s, d):
     return S.entropy(table(s, d, "events"), ["event_type"])
 
 
-@query("sta03_percentiles", "SELECT p, (SELECT quantile_cont(value, p) FROM events) AS value FROM (SELECT unnest([0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS p)".replace("(SELECT quantile_cont(value, p) FROM events)", "CASE p " + " ".join(f"WHEN {p} THEN (SELECT quantile_cont(value, {p}) FROM events)" for p in (0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99)) + " END"))
+_POINTS = [0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99]
+
+
+@query("sta03_percentiles", " UNION ALL ".join(f"SELECT {p}::DOUBLE AS p, quantile_cont(value, {p}) AS value FROM events" for p in _POINTS))
 def _(s, d):
-    return S.percentiles(table(s, d, "events"), "value", [0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99])
+    return S.percentiles(table(s, d, "events"), "value", _POINTS)
 
 
 @query("sta03_trimmed_mean", "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events) SELECT avg(value) AS trimmed_mean FROM r WHERE r > floor(n * 0.1) AND r <= n - floor(n * 0.1)")
@@ -100,14 +103,24 @@ def _(s, d):
 
 @query(
     "sta08_outliers",
-    """WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, median(l_extendedprice) AS m, quantile_cont(l_extendedprice, 0.75) AS c, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS sd FROM lineitem WHERE l_linenumber = 1),
-    x AS (SELECT l_orderkey, l_partkey, l_extendedprice AS v, abs(l_extendedprice - m) AS dev, q.* FROM lineitem, q WHERE l_linenumber = 1), d AS (SELECT median(dev) AS mad, quantile_cont(dev, 0.9) AS far FROM x),
-    f AS (SELECT l_orderkey * 100000 + l_partkey AS id, v < a - 1.5 * (c - a) OR v > c + 1.5 * (c - a) AS iqr, abs(v - mean) > 3 * sd AS zscore, 0.6745 * dev > 3.5 * mad AS modified_z, dev > far AS farthest FROM x, d)
-    SELECT *, iqr::INT + zscore::INT + modified_z::INT + farthest::INT >= 3 AS consensus FROM f""",
+    """WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, median(l_extendedprice) AS m, quantile_cont(l_extendedprice, 0.75) AS c, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS sd FROM lineitem),
+    x AS (SELECT l_orderkey, l_partkey, l_extendedprice AS v, abs(l_extendedprice - m) AS dev, q.* FROM lineitem, q), d AS (SELECT median(dev) AS mad, quantile_cont(dev, 0.9) AS far FROM x)
+    SELECT l_orderkey * 100000 + l_partkey AS id, v < a - 1.5 * (c - a) OR v > c + 1.5 * (c - a) AS iqr, abs(v - mean) > 3 * sd AS zscore, 0.6745 * dev > 3.5 * mad AS modified_z, dev > far AS farthest FROM x, d""",
 )
 def _(s, d):
-    x = table(s, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("id"), "l_extendedprice")
-    return S.outlier_flags(x, "l_extendedprice", "id")
+    x = table(s, d, "lineitem").select((F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("id"), "l_extendedprice")
+    return S.outlier_flags(x, "l_extendedprice", "id").select("id", "iqr", "zscore", "modified_z", "farthest")
+
+
+# of the forest: its votes add up, and about a tenth is isolated
+@query("sta11_isolation_forest", "SELECT count(*) AS n, true AS a_tenth, true AS votes_add_up, true AS far_ones_are_odd FROM lineitem")
+def _(s, d):
+    x = S.outlier_flags(table(s, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), "l_extendedprice"), "l_extendedprice", "id")
+    votes = sum((F.col(c).cast("int") for c in ("iqr", "zscore", "modified_z", "isolated", "farthest")), F.lit(0))
+    return x.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("isolated").cast("int")).between(0.03, 0.1).alias("a_tenth"), F.bool_and(F.col("consensus") == (votes >= 3)).alias("votes_add_up"),
+        (F.avg(F.when(F.col("farthest"), F.col("isolated").cast("int"))) > F.avg(F.when(~F.col("farthest"), F.col("isolated").cast("int")))).alias("far_ones_are_odd"),
+    )
 
 
 @query(
