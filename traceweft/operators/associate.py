@@ -122,6 +122,32 @@ def numeric_method(pearson: float, spearman: float, kendall: float) -> tuple[str
     return best, value
 
 
+def categorical_method(df: DataFrame, feature: str, target: str, many: int = 20) -> tuple[str, float]:
+    """The strongest of Cramer's V and Theil's U, and of adjusted mutual information where the feature has over ``many`` values."""
+    i = information(df, feature, target).first()
+    found = {"cramers_v": cramers_v(df, feature, target).first()["v"] or 0.0, "theils_u": i["gain"]}
+    if df.select(feature).distinct().limit(many + 1).count() > many:
+        found["adjusted_mi"] = adjusted_mutual_information(df, feature, target)
+    name = max(sorted(found), key=lambda k: found[k])
+    return name, float(found[name])
+
+
+def robust_pairs(df: DataFrame, columns: list[str], row_id: str, threshold: float = 0.85) -> DataFrame:
+    """(a, b, r): of Kendall's and Spearman's coefficient of each pair the mean, where its size reaches the threshold."""
+    rank = {(r["a"], r["b"]): r["r"] for r in stats.spearman_pairs(df, columns, row_id).collect()}
+    rows = [(a, b, ((stats.kendall(df, a, b).first()["tau"] or 0.0) + (r or 0.0)) / 2) for (a, b), r in rank.items()]
+    return df.sparkSession.createDataFrame([x for x in rows if abs(x[2]) >= threshold], "a string, b string, r double")
+
+
+def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 8) -> DataFrame:
+    """(feature, mi, share of the greatest): mutual information in bits with a target, numbers by quantile bins on both sides."""
+    if isinstance(df.schema[target].dataType, T.NumericType) and target_type(df, target) == "numeric":
+        df = binned(df, target, bins)
+    rows = [(f, float(gain_ratio(df, f, target, bins).first()["mi"] or 0.0)) for f in features]
+    top = max([x for _, x in rows], default=0.0) or 1.0
+    return df.sparkSession.createDataFrame([(f, x, x / top) for f, x in rows], "feature string, mi double, share double")
+
+
 def is_categorical(n_distinct: Column, uniqueness: Column) -> Column:
     return (n_distinct <= 2) | ((n_distinct <= 20) & (uniqueness < 0.05)) | ((n_distinct <= 50) & (uniqueness < 0.01))
 

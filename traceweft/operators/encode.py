@@ -148,6 +148,11 @@ def vectorised(df: DataFrame, columns: list[str], n_distinct: dict[str, int], th
     return df
 
 
+def finite(c: Column) -> Column:
+    """Infinities and NaN as null."""
+    return F.when(F.abs(c.cast("double")) < float("inf"), c)
+
+
 def clipped(df: DataFrame, column: str) -> DataFrame:
     """Infinities to null, then clipped to the 0.5 and 99.5 percentiles widened by 1.5 times their distance, then the median for nulls."""
     x = F.when(F.abs(F.col(column).cast("double")) < float("inf"), F.col(column).cast("double"))

@@ -119,3 +119,11 @@ def explore(df: DataFrame, numeric: list[str], ts: str | None = None) -> dict[st
 def counts_add_up(df: DataFrame, counted: DataFrame, column: str = "n") -> bool:
     """Whether a table of counts covers every row."""
     return counted.agg(F.sum(column)).first()[0] == df.count()
+
+
+def estimated_seconds(n_rows: int, n_columns: int) -> dict[str, int]:
+    """Rough seconds of the usual steps by the size of a table; a guess for progress bars, not a plan."""
+    return {
+        "correlation_analysis": max(1, n_columns**2 // 1000), "feature_importance": max(5, n_rows * n_columns // 100_000),
+        "encoding_operations": max(2, n_columns // 10), "balancing_operations": max(3, n_rows // 50_000),
+    }

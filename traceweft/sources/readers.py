@@ -24,6 +24,17 @@ def _files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     return [(f.getPath().toString(), f.getModificationTime()) for f in found or []]
 
 
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text, hidden ones too, from any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    lines = jvm.java.util.Scanner(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at), "UTF-8").useDelimiter("\\A")
+    try:
+        return lines.next() if lines.hasNext() else ""
+    finally:
+        lines.close()
+
+
 def newest(spark: SparkSession, folder: str, prefix: str, ending: str = ".csv") -> str:
     """The file changed last among those of a folder with this prefix and ending."""
     found = [f for f in _files(spark, f"{folder}/{prefix}*{ending}")]
@@ -70,10 +81,18 @@ def sniff_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str
     return "utf-8"
 
 
-def read_json_index(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of records by key, as rows with the key in ``index``."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
-    return text.select(F.explode("m").alias("index", "record"))
+def read_json_index(spark: SparkSession, path: str, schema: str | None = None, sample: int = 100) -> DataFrame:
+    """A JSON object of records by key, as rows with the key in ``index`` and the record in ``record``.
+
+    The records' schema is inferred from the first ``sample`` of them if it is not given.
+    """
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("index", "record"))
+    if schema is None:
+        head = [r["record"] for r in rows.limit(sample).collect()]
+        kind = spark.range(1).select(F.schema_of_json(F.lit(f"[{','.join(head)}]")).alias("s")).first()["s"]
+        schema = kind.removeprefix("ARRAY<").removesuffix(">") if head else "struct<>"
+    return rows.select("index", F.from_json("record", schema).alias("record"))
 
 
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:

@@ -77,5 +77,20 @@ def write_report(spark: SparkSession, path: str, report: dict, html: bool = Fals
         put_text(spark, path, json.dumps(report, default=str, indent=1))
 
 
+def dated_path(df: DataFrame, ts: str, path: str) -> str:
+    """The path with the first and last day of a column before its ending: name_2024-01-01_to_2024-01-30.parquet."""
+    days = df.agg(F.min(F.to_date(ts)).alias("a"), F.max(F.to_date(ts)).alias("z")).first()
+    folder, _, name = path.rpartition("/")
+    stem, dot, ending = name.rpartition(".") if "." in name else (name, "", "")
+    return f"{folder}/{stem}_{days.a}_to_{days.z}{dot}{ending}" if folder else f"{stem}_{days.a}_to_{days.z}{dot}{ending}"
+
+
 def save_last_run(spark: SparkSession, path: str, **settings) -> None:
+    """Settings of a run as JSON, or as YAML with a .env file beside it that names it."""
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        put_text(spark, path, yaml.safe_dump({"last_run": settings | {"saved": time.time()}}, sort_keys=False))
+        put_text(spark, f"{path.rpartition('/')[0]}/.env", f"PATHS_YAML={path}\n")
+        return
     put_text(spark, path, json.dumps(settings | {"saved": time.time()}, default=str))
