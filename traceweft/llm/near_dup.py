@@ -205,7 +205,8 @@ def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> tuple[Dat
     wanted = t.keep("wanted", wanted)
     # one row stands for a class: that of its least id, and of rows without an id the one of the least text
     stands = base.doc_id.eqNullSafe(wanted.least) & (base.body == wanted.body)
-    pool = base.join(wanted, stands).select("cls", "text").mapInArrow(_sets, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    # merged at any size: both sides grow with the input, so a broadcast that small tables allow is no plan to rely on
+    pool = base.join(wanted.hint("merge"), stands).select("cls", "text").mapInArrow(_sets, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
     pool = t.keep("pool", pool)
     crowd = pool.join(members.where(F.col("size") >= CROWD).select("cls").distinct(), "cls", "left_semi")
     crowd = t.keep("crowd", crowd.withColumn("id", F.monotonically_increasing_id()))
@@ -241,7 +242,7 @@ def _confirmed(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     one = pool.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     two = pool.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(one, "a").join(two, "b").withColumn("both", both)
+    met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("both", both)
     return met.where(100 * F.col("both") >= percent * (F.col("both_n") - F.col("both"))).select("a", "b")
 
 
