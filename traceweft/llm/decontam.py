@@ -9,7 +9,8 @@ flipped bits of each block of an item; two fingerprints up to 23 bits apart diff
 block, so the index returns all of them. Candidates within the radius are verified by the exact similarity
 of the two bags of shingles: the sum of least counts over the sum of greatest counts.
 
-The benchmark is broadcast only while its counted shingles are few; beyond that the same joins shuffle.
+The benchmark is broadcast only while its counted shingles are few, and the starts to look at only while they
+take few bytes; beyond that the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ BLOCKS = 8
 BITS = 64 // BLOCKS
 FLIPS = 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Most benchmark shingles, or index keys, that are broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Most benchmark shingles, or index keys, that are broadcast; and most bytes of the starts to look at.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -112,7 +113,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     spans = t.keep("spans", spans.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
 
     # the windows themselves, each with its own slice of the document's shingles
-    full = base.join(spans, "key").select("key", words(F.col("text")).alias("w"), "spans")
+    # few starts go to the texts where they lie; many meet them in a join, for which the texts move
+    much = spans.agg(F.sum(F.size("spans") * 8 + 64)).first()[0] or 0
+    full = base.join(F.broadcast(spans) if much <= BROADCAST_BYTES else spans, "key").select("key", words(F.col("text")).alias("w"), "spans")
     part = lambda sh, s: F.when(s["size"] < WIDTH, F.array(F.xxhash64(F.slice("w", s["start"] + 1, s["size"]), F.lit(-1)))).otherwise(F.slice(sh, s["start"] + 1, s["size"] - (WIDTH - 1)))
     parts = let(shingles(F.col("w")), lambda sh: F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), part(sh, s).alias("sh"))))
     window = full.select("key", F.size("w").alias("total"), F.explode(parts).alias("s")).select("key", "total", "s.*").where("size(sh) > 0")
