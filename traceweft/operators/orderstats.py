@@ -28,7 +28,8 @@ def quantiles(df: DataFrame, of: dict[str, Column], points: list[float]) -> Data
     clean = {name: F.when(~F.isnan(x.cast("double")), x.cast("double")) for name, x in of.items()}
     if df.count() <= AT_ONCE:
         return df.agg(*[F.percentile(x, F.array(*[F.lit(p) for p in points])).alias(name) for name, x in clean.items()])
-    found = _refined(df.select(*[F.greatest(F.least(x, F.lit(_TOP)), F.lit(-_TOP)).alias(name) for name, x in clean.items()]), points)
+    held = {name: F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(_TOP)), F.lit(-_TOP))) for name, x in clean.items()}
+    found = _refined(df.select(*[x.alias(name) for name, x in held.items()]), points)
     return df.sparkSession.createDataFrame([tuple(found[name] for name in of)], T.StructType([T.StructField(name, T.ArrayType(T.DoubleType())) for name in of]))
 
 

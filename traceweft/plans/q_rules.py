@@ -90,14 +90,14 @@ def _(s, d):
 
 
 _READY = f"""WITH h AS (SELECT count(*) AS n, 100.0 * ((count(*) - count(status)) + (count(*) - count(priority)) + (count(*) - count(cust))) / (4 * count(*)) AS pct FROM {_HOLES}),
-    p AS (SELECT CASE WHEN n >= 10000 THEN 25 WHEN n >= 1000 THEN 15 ELSE 5 END AS size, CASE WHEN pct < 5 THEN 25 WHEN pct < 20 THEN 15 ELSE 5 END AS missing, 15 AS diversity, 25 AS independence FROM h)"""
+    p AS (SELECT CASE WHEN n >= 10000 THEN 25 WHEN n >= 1000 THEN 15 ELSE 5 END AS size, CASE WHEN pct < 5 THEN 25 WHEN pct < 20 THEN 15 ELSE 5 END AS missing, 25 AS diversity, 25 AS independence FROM h)"""
 
 
 def _ready(s, d):
     h = holes(s, d)
     p = P.profile(h)
     pct = p.agg(F.avg("null_pct")).first()[0]
-    kinds = len({k for k in P.categories(h).values()})
+    kinds = len(set(P.categories(h.withColumn("flag", F.col("o_orderkey") % 2)).values()))  # numbers, texts and a flag
     return P.readiness(h.count(), pct, kinds, 0)
 
 
@@ -367,11 +367,11 @@ def _(s, d):
     return said.agg(F.count(F.lit(1)).alias("n_test"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > top).alias("beats_majority"))
 
 
-@query("mdl01_lasso_keeps_signal", "SELECT 4::BIGINT AS n_features, 'l_quantity' AS strongest FROM lineitem LIMIT 1")
+@query("mdl01_lasso_keeps_signal", "SELECT 4::BIGINT AS n_features, true AS quantity_counts, true AS tax_does_not FROM lineitem LIMIT 1")
 def _(s, d):
-    x = training(s, d)[0].withColumn("l_quantity", F.col("l_quantity") / 50).withColumn("l_extendedprice", F.col("l_extendedprice") / 1e6)
-    c = M.coefficients(M.lasso_cv(x, _FEATURES, "label", [0.001, 0.01], folds=2), _FEATURES)
-    return s.createDataFrame([(len(c), c[0][0])], "n_features long, strongest string")
+    x = training(s, d)[0].withColumn("l_quantity", F.col("l_quantity") / 50)
+    c = dict(M.coefficients(M.lasso_cv(x, _FEATURES, "label", [0.001, 0.01], folds=2), _FEATURES))
+    return s.createDataFrame([(len(c), c["l_quantity"] > 0.1, abs(c["l_tax"]) < c["l_quantity"])], "n_features long, quantity_counts boolean, tax_does_not boolean")
 
 
 @query("mdl14_ranked_coefficients", "SELECT 4::BIGINT AS n, true AS in_order FROM lineitem LIMIT 1")
@@ -407,8 +407,8 @@ def _(s, d):
 
 @query("orc03_explore", f"SELECT 'status' AS \"column\", count(*) - count(status) AS n_null, count(DISTINCT status) AS n_distinct FROM {_HOLES} UNION ALL SELECT 'cust', count(*) - count(cust), count(DISTINCT cust) FROM {_HOLES}")
 def _(s, d):
-    x = R.explore(holes(s, d).select("status", "cust"), ["cust"])
-    return x["nulls"].select("column", "n_null").join(x["profile"].select("column", "n_distinct"), "column")
+    x = R.explore(holes(s, d).select("status", "cust", "o_orderkey"), ["cust", "o_orderkey"])
+    return x["nulls"].select("column", "n_null").join(x["profile"].select("column", "n_distinct"), "column").where("column <> 'o_orderkey'")
 
 
 @query("orc04_run_history", "SELECT unnest(['filter', 'binary_target']) AS step, 'done' AS state FROM region LIMIT 2")
