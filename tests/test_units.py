@@ -42,7 +42,7 @@ def test_read_dispatch_and_round_trips(spark, units, tmp_path):
     footer = readers.parquet_footer(next(str(p) for p in (tmp_path / "a.parquet").glob("*.parquet")))
     assert footer["rows"] == 505 and footer["codecs"] == ["ZSTD"] and "id" in footer["columns"]
     (tmp_path / "i.json").write_text('{"k1": {"a": 1}, "k2": {"a": 2}}')
-    assert {r["index"]: r.record["a"] for r in readers.read_json_index(spark, f"{base}/i.json").collect()} == {"k1": "1", "k2": "2"}
+    assert {r["index"]: r.record["a"] for r in readers.read_json_index(spark, f"{base}/i.json").collect()} == {"k1": 1, "k2": 2}
 
 
 def test_versions_reports_and_settings(spark, units, tmp_path):
@@ -290,3 +290,80 @@ def test_smote_of_a_large_class(spark):
         d = ((x - x[r.base]) ** 2).sum(axis=1)
         d[r.base] = np.inf
         assert r.neighbour in np.argsort(d, kind="stable")[:5]
+
+
+def test_exact_quantiles_beyond_one_buffer(spark, monkeypatch):
+    """The rounds of counting give what one buffer gives, with ties, nulls, infinities and few values."""
+    import numpy as np
+
+    from traceweft.operators import orderstats
+
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(round(y, 1)), None if i % 3 else float(i % 2), float("inf") if i % 50 == 0 else -float(x) ** 3, None) for i, (x, y) in enumerate(zip(rng.lognormal(0, 3, 3000), rng.normal(0, 1, 3000)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    of, points = {c: F.col(c) for c in df.columns}, [0.0, 0.005, 0.25, 0.5, 0.9, 0.999, 1.0]
+    want = orderstats.quantiles(df, of, points).first()
+    monkeypatch.setattr(orderstats, "AT_ONCE", 10)
+    monkeypatch.setattr(orderstats, "FEW", 20)
+    monkeypatch.setattr(orderstats, "SLICES", 16)
+    got = orderstats.quantiles(df, of, points).first()
+    for c in "abcd":
+        assert got[c] == pytest.approx(want[c], rel=1e-12), c
+    assert want["e"] is None and got["e"] == [None] * len(points)
+
+
+def test_running_sums_in_slices(spark, monkeypatch):
+    from traceweft.operators import orderstats
+
+    df = spark.createDataFrame([(float(i * i % 997), i % 7) for i in range(997) if (i * i % 997, i)], "x double, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    for down in (False, True):
+        want = {r.x: r.upto for r in orderstats.running(df, "x", {"upto": "n"}, down).collect()}
+        monkeypatch.setattr(orderstats, "AT_ONCE", 10)
+        got = {r.x: r.upto for r in orderstats.running(df, "x", {"upto": "n"}, down, slices=8).collect()}
+        monkeypatch.undo()
+        assert got == want and len(got) > 400
+    assert orderstats.running(df.limit(0), "x", {"upto": "n"}).collect() == []
+
+
+def test_class_ranks_need_no_whole_class(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("k"))
+    got = sampling.hash_ranked(df, "k", "id").collect()
+    for k in range(3):
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r._rn)
+        assert [r._rn for r in mine] == list(range(1, len(mine) + 1)) and all(r._n == len(mine) for r in mine)
+        import hashlib
+
+        assert [r.id for r in mine] == sorted((r.id for r in mine), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+
+
+def test_fisher_and_dispatch(spark):
+    assert associate.fisher_p(3, 1, 1, 3) == pytest.approx(0.4857142857)
+    assert associate.fisher_p(8, 2, 1, 5) == pytest.approx(0.0349650350)
+    rows = [(i, "ab"[i % 2], float(i % 2 * 30 + i % 23), i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, kind string, x double, cls int")
+    a = associate.association(df, "kind", "x", "id")
+    assert a["test"] == "kruskal" and a["p"] < 1e-6 and a["score"] > 5
+    assert associate.association(df, "x", "cls", "id")["test"] in ("anova", "alexander_govern")
+    few = spark.createDataFrame([("a", "x")] * 3 + [("a", "y")] + [("b", "x")] + [("b", "y")] * 3, "f string, t string")
+    found = associate.independence(few, "f", "t")
+    assert found["test"] == "fisher" and found["p"] == pytest.approx(0.4857142857) and found["statistic"] == 9.0
+
+
+def test_isolated_values(spark):
+    from traceweft.operators.isolation import isolation_scores
+
+    df = spark.createDataFrame([(float(i % 50),) for i in range(2000)] + [(900.0,), (-700.0,), (None,)], "x double")
+    got = {r.x: r.isolation for r in isolation_scores(df, "x").distinct().collect()}
+    assert got[None] is None and min(got[900.0], got[-700.0]) > max(got[float(i)] for i in range(50))
+    flags = stats.outlier_flags(df.withColumn("id", F.monotonically_increasing_id()), "x", "id")
+    assert flags.where("consensus").count() == 2
+
+
+def test_folder_of_a_cluster_is_asked_for():
+    from types import SimpleNamespace
+
+    from traceweft.sources import scratch
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(RuntimeError):
+        scratch.shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
