@@ -10,9 +10,6 @@ from traceweft.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Built on row counts of the larger table.
-LARGER = {"prf05_quality_issues", "prf13_bands", "cor16_categorical_rule"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
 
@@ -40,7 +37,7 @@ def alike(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - LARGER))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     names = sorted(df.columns)

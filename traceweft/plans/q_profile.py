@@ -53,19 +53,44 @@ def _(s, d):
     return P.mixed_types(e, ["text"])
 
 
-@query("prf05_quality_issues", f"SELECT 'constant' AS issue, 'one' AS \"column\" UNION ALL SELECT 'constant', 'none' UNION ALL SELECT 'all_null', 'none' UNION ALL SELECT 'high_missing', 'status' WHERE (SELECT count(status) FROM {_HOLES}) < 10000 UNION ALL SELECT 'high_cardinality', 'o_orderkey' WHERE (SELECT count(DISTINCT o_orderkey) FROM orders) > 1000")
+def facts(columns: dict[str, str], source: str) -> str:
+    """SQL of one row for each column: rows, nulls, distinct values, null percentage, uniqueness."""
+    one = lambda name, x: f"SELECT '{name}' AS \"column\", count(*) AS n, count(*) - count({x}) AS n_null, count(DISTINCT {x}) AS d FROM {source}"
+    return f"(SELECT *, 100.0::DOUBLE * n_null / n AS pct, coalesce(d::DOUBLE / nullif(n - n_null, 0), 0) AS u FROM ({' UNION ALL '.join(one(*c) for c in columns.items())}))"
+
+
+_ODD = facts({"o_orderkey": "o_orderkey", "status": "status", "one": "1", "none": "NULL::INTEGER"}, _HOLES)
+
+
+@query(
+    "prf05_quality_issues",
+    f"""WITH f AS (SELECT * FROM {_ODD}) SELECT 'constant' AS issue, "column" FROM f WHERE d <= 1 UNION ALL SELECT 'all_null', "column" FROM f WHERE n = n_null
+    UNION ALL SELECT 'high_missing', "column" FROM f WHERE n - n_null BETWEEN 1 AND 9999 UNION ALL SELECT 'high_cardinality', "column" FROM f WHERE d > 1000""",
+)
 def _(s, d):
     h = holes(s, d).select("o_orderkey", "status", F.lit(1).alias("one"), F.lit(None).cast("int").alias("none"))
     return P.issues(P.profile(h), 10_000)
 
 
-@query("prf11_encoding_issues", "SELECT * FROM (VALUES ('day', 'date_like'), ('num', 'numeric_text'), ('order_id', 'identifier'), ('order_id', 'numeric_text'), ('one', 'constant'), ('one', 'mixed')) AS t(\"column\", issue) WHERE issue <> 'mixed'")
+_TEXTS = {"order_id": "o_orderkey::VARCHAR", "day": "strftime(o_orderdate, '%Y-%m-%d')", "num": "(o_custkey % 9)::VARCHAR", "one": "'x'"}
+
+
+@query(
+    "prf11_encoding_issues",
+    f"""WITH f AS (SELECT * FROM {facts(_TEXTS, 'orders')}), t AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, avg((TRY_CAST({x} AS DOUBLE) IS NOT NULL)::INT) AS num, avg(regexp_matches({x}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')::INT) AS dated FROM orders" for c, x in _TEXTS.items())})
+    SELECT "column", 'constant' AS issue FROM f WHERE d <= 1 UNION ALL SELECT "column", 'mostly_missing' FROM f WHERE pct > 80 UNION ALL SELECT "column", 'identifier' FROM f WHERE regexp_matches("column", 'id|key|number|serial|uuid') AND u > 0.95
+    UNION ALL SELECT c, 'numeric_text' FROM t WHERE num = 1 UNION ALL SELECT c, 'mixed' FROM t WHERE num > 0 AND num < 1 UNION ALL SELECT c, 'date_like' FROM t WHERE dated > 0.8""",
+)
 def _(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("order_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), (F.col("o_custkey") % 9).cast("string").alias("num"), F.lit("x").alias("one"))
     return P.encoding_issues(o, P.profile(o))
 
 
-@query("prf13_bands", "SELECT 'low' AS cardinality, 'high' AS missing, 0::BIGINT AS n_columns WHERE false UNION ALL SELECT * FROM (VALUES ('binary', 'high', 1), ('low', 'medium', 1), ('medium', 'low', 1)) AS t(cardinality, missing, n_columns)")
+@query(
+    "prf13_bands",
+    f"""SELECT CASE WHEN d <= 2 THEN 'binary' WHEN d <= 10 THEN 'low' WHEN d <= 100 THEN 'medium' WHEN d <= 1000 THEN 'high' ELSE 'very_high' END AS cardinality,
+    CASE WHEN pct = 0 THEN 'none' WHEN pct <= 5 THEN 'low' WHEN pct <= 20 THEN 'medium' ELSE 'high' END AS missing, count(*) AS n_columns FROM {facts({c: c for c in _COLS}, _HOLES)} GROUP BY 1, 2""",
+)
 def _(s, d):
     return P.bands(P.profile(holes(s, d), list(_COLS)))
 
@@ -82,10 +107,13 @@ def _(s, d):
     return P.quality_score(h, P.profile(h))
 
 
-@query("prf18_problematic", "SELECT * FROM (VALUES ('one'), ('none')) AS t(\"column\")")
+_PROBLEMS = facts({"o_orderkey": "o_orderkey", "status": "status", "one": "1", "none": "NULL::INTEGER", "cust": "cust", "book_state": "0"}, _HOLES)
+
+
+@query("prf18_problematic", f"SELECT \"column\" FROM {_PROBLEMS} WHERE (\"column\" = 'cust' OR pct > 98 OR d <= 1) AND \"column\" <> 'book_state'")
 def _(s, d):
-    h = holes(s, d).select("o_orderkey", "status", F.lit(1).alias("one"), F.lit(None).cast("int").alias("none"), F.lit(0).alias("book_state"))
-    return P.problematic(P.profile(h), ["status_code"])
+    h = holes(s, d).select("o_orderkey", "status", F.lit(1).alias("one"), F.lit(None).cast("int").alias("none"), "cust", F.lit(0).alias("book_state"))
+    return P.problematic(P.profile(h), ["cust"])
 
 
 @query(

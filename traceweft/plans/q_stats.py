@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from traceweft.operators import associate as A
 from traceweft.operators import stats as S
-from traceweft.plans.q_profile import _HOLES, holes
+from traceweft.plans.q_profile import _HOLES, facts, holes
 from traceweft.plans.registry import query, table
 
 _NUM = ("l_quantity", "l_extendedprice", "l_discount")
@@ -216,7 +216,7 @@ def _(s, d):
     return i.select(*[F.round(c, 6).alias(c) for c in i.columns])
 
 
-@query("cor16_categorical_rule", f"SELECT 'status' AS \"column\", true AS categorical UNION ALL SELECT 'priority', true UNION ALL SELECT 'cust', true UNION ALL SELECT 'o_orderkey', false FROM (SELECT 1)")
+@query("cor16_categorical_rule", f"SELECT \"column\", d <= 2 OR (d <= 20 AND u < 0.05) OR (d <= 50 AND u < 0.01) AS categorical FROM {facts({c: c for c in ('o_orderkey', 'status', 'priority', 'cust')}, _HOLES)}")
 def _(s, d):
     from traceweft.operators.profile import profile
 
@@ -236,10 +236,15 @@ def _(s, d):
     return A.consensus(s.createDataFrame(_SCORES, "method string, feature string, score double"), _WEIGHTS)
 
 
-@query("imp03_false_discoveries", """WITH p(feature, p) AS (VALUES ('a', 0.001::DOUBLE), ('b', 0.02), ('c', 0.03), ('d', 0.2), ('e', 0.9)), r AS (SELECT *, p * 5 / row_number() OVER (ORDER BY p, feature) AS q, row_number() OVER (ORDER BY p, feature) AS k FROM p)
-    SELECT feature, p, least(min(q) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1) AS adjusted, least(min(q) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1) <= 0.05 AS rejected FROM r""")
+@query(
+    "imp03_false_discoveries",
+    """WITH p AS (SELECT event_type AS feature, (count(*) FILTER (WHERE value > 90))::DOUBLE / count(*) AS p FROM events GROUP BY 1), r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS q, row_number() OVER (ORDER BY p, feature) AS k FROM p)
+    SELECT feature, round(p, 9) AS p, round(least(min(q) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 9) AS adjusted, least(min(q) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1) <= 0.17 AS rejected FROM r""",
+)
 def _(s, d):
-    return A.false_discoveries(s.createDataFrame([("a", 0.001), ("b", 0.02), ("c", 0.03), ("d", 0.2), ("e", 0.9)], "feature string, p double"))
+    share = (F.count_if(F.col("value") > 90) / F.count(F.lit(1))).alias("p")
+    p = A.false_discoveries(table(s, d, "events").groupBy(F.col("event_type").alias("feature")).agg(share), rate=0.17)
+    return p.select("feature", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"), "rejected")
 
 
 @query(
