@@ -364,3 +364,61 @@ def test_decontamination_tries_every_start(spark):
     want = leaks(rows, items)
     assert (0, 0) in want and set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def evidence_rows(rng):
+    """Pages with addresses: half German-like, half French-like, all with one common word; no host or domain is one-sided but two."""
+    parts = {"de": ["bal", "kor", "tun", "mek"], "fr": ["ée", "oui", "lle", "nça"]}
+    text = lambda lang: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(20)) + " omni" * 6
+    rows = [(i, text("fr" if i % 2 else "de"), "fr" if i % 2 else "de", f"http://n{i // 2 % 7}.mixed.org/{i}") for i in range(200)]
+    rows += [(300 + i, text("fr"), "fr", "https://a.site.com:80/x") for i in range(40)]
+    return rows + [(400 + i, text("de"), "de", "a.ort.com") for i in range(40)]
+
+
+def test_each_kind_of_evidence_speaks(spark):
+    """A text that says nothing is decided by its mark-up, its suffix, or the other hosts of its domain."""
+    rows, same = evidence_rows(random.Random(6)), "omni omni omni omni"
+    rows += [(1000, same, None, "http://neu.de/a"), (1001, same, None, "http://neuf.fr"), (1002, f'<html lang="fr"><p>{same}</p>', None, "x.mixed.org"), (1003, f"<html lang='de-AT'><p>{same}</p>", None, "x.mixed.org")]
+    rows += [(1004, same, None, "b.site.com"), (1005, same, None, "http://b.ort.com/?q"), (1006, same, None, "a.site.com"), (1007, same, None, "a.ort.com")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i: got[i].lang for i in range(1000, 1008)} == {1000: "de", 1001: "fr", 1002: "fr", 1003: "de", 1004: "fr", 1005: "de", 1006: "fr", 1007: "de"}
+    assert got[1002].declared == "fr" and got[1004].declared is None
+
+
+def test_rows_that_no_model_has_seen(spark):
+    """Fitted on one half by hash, the model tells the language of the other half."""
+    df = spark.createDataFrame(evidence_rows(random.Random(16)), "doc_id long, text string, lang string, source string")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    got = langid.identify(df.where(~half), training=df.where(half), host=None).join(df.select("doc_id", F.col("lang").alias("true")), "doc_id").collect()
+    assert len(got) > 100 and sum(r.lang == r.true for r in got) >= 0.97 * len(got)
+
+
+def test_many_rows_without_an_id(spark):
+    """Near copies with missing ids cost what others cost, and one of each group stays."""
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(None, " ".join([*base, f"e{i}"])) for i in range(500)] + [(None, " ".join(f"c{rng.randrange(10**6)}" for _ in range(30))) for _ in range(20)]
+    left = near_dup.one_of_each(docs(spark, rows)).collect()
+    assert len(left) == 21 and sum("b0" in r.text for r in left) == 1
+
+
+def test_small_sets_lose_no_link(spark):
+    """Pairs of few shingles right at the threshold."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        n = rng.randint(9, 30)
+        a = [f"w{i}-{k}" for k in range(n)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join([*a, *[f"x{i}-{k}" for k in range(int((n - 4) * 0.25))]]))]
+    sets = [shingles(t) for _, t in rows]
+    near = {2 * i for i in range(300) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+    assert len(near) > 200 and {i for i in range(0, 600, 2) if got[i + 1] == i} == near
+
+
+def test_one_passage_in_very_many_documents(spark):
+    """A hot passage is taken out of all but the first document that has it."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.range(20_000).select((F.col("id") + 5).alias("doc_id"), F.concat(F.lit("own"), F.col("id").cast("string"), F.lit(" " + passage)).alias("text"))
+    got = substring.remove_repeats(df).groupBy("n_words", "n_removed").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).collect()
+    assert sorted(map(tuple, got)) == [(61, 0, 1, 5), (61, 60, 19_999, 6)]

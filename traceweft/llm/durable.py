@@ -10,27 +10,11 @@ Tables that a result still reads stay until ``release`` is called, or the JVM en
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="traceweft-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own_folder()
-    return base.rstrip("/")
-
+from traceweft.sources.scratch import shared_folder
 
 #: Every set of tables that is not released yet, oldest first.
 _live: list[Tables] = []
