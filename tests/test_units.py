@@ -367,3 +367,31 @@ def test_folder_of_a_cluster_is_asked_for():
     conf = SimpleNamespace(get=lambda key, default=None: default)
     with pytest.raises(RuntimeError):
         scratch.shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_shapiro_wilk():
+    w, p = special.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert w == pytest.approx(0.78881, abs=2e-4) and p == pytest.approx(0.0067, abs=3e-4)
+    assert special.shapiro_wilk([1.0, 1.0, 1.0]) == (1.0, 1.0)
+    with pytest.raises(ValueError):
+        special.shapiro_wilk([1.0, 2.0])
+
+
+def test_shapley_values_by_definition(spark):
+    """Additive, zero for a feature no tree uses, and right for one stump."""
+    from traceweft.operators import models, shapley
+
+    rows = [(i, float(i % 10), float(i % 3), 7.0, float(i % 10 > 6)) for i in range(300)] + [(999, None, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label double")
+    for pipe in (models.random_forest(["a", "b", "c"], "label", trees=4, depth=3), models.boosted_trees(["a", "b", "c"], "label", rounds=3, depth=2)):
+        model = pipe.fit(df)
+        values = shapley.shapley_values(model, df, ["a", "b", "c"], "id")
+        by: dict = {}
+        for r in values.collect():
+            by.setdefault(r.id, {})[r.feature] = r.value
+        assert set(by) == set(range(300)) and all(abs(v["c"]) < 1e-12 for v in by.values())
+        assert by[9]["a"] > 0 > by[1]["a"] and max(abs(v["b"]) for v in by.values()) < by[9]["a"]
+        scores = {r.id: r.rawPrediction[1] if hasattr(model.stages[-1], "treeWeights") and type(model.stages[-1]).__name__.startswith("GBT") else r.probability[1] for r in model.transform(df).collect()}
+        assert all(sum(by[i].values()) == pytest.approx(scores[i], abs=1e-9) for i in by)
+    with pytest.raises(ValueError):
+        shapley.shapley_values(model, df, [f"f{i}" for i in range(13)], "id")

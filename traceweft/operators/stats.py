@@ -173,6 +173,17 @@ def kolmogorov_smirnov(df: DataFrame, column: str) -> DataFrame:
     return r.agg(F.max(gap).alias("ks"), F.max("n").alias("n")).select("ks", (F.col("ks") < 1.36 / F.sqrt("n")).alias("normal"))
 
 
+def shapiro(df: DataFrame, column: str) -> dict | None:
+    """Shapiro and Wilk's test; None for a column that has not 3 to 5,000 values, for which it is not made."""
+    from traceweft.functions.special import shapiro_wilk
+
+    x = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("double")).limit(5001).collect()]
+    if not 3 <= len(x) <= 5000:
+        return None
+    w, p = shapiro_wilk(x)
+    return {"w": w, "p": p, "normal": p > 0.05}
+
+
 def normal_cdf(z: Column) -> Column:
     """Distribution function of the normal law, by a rational form of erf good to 1e-7."""
     t = 1 / (1 + 0.3275911 * F.abs(z) / 1.4142135623730951)

@@ -453,3 +453,25 @@ def _(s, d):
 def _(s, d):
     e = table(s, d, "part").select("p_partkey", N.hashed_ngrams(F.col("p_name"), 8).alias("e"))
     return e.select("p_partkey", F.size("e").alias("dims"), F.forall("e", lambda x: (x >= 0) & (x < 1)).alias("in_range"))
+
+
+@query("sta04_shapiro", "SELECT count(*) AS n, true AS in_range FROM supplier")
+def _(s, d):
+    x = table(s, d, "supplier")
+    found = stats.shapiro(x, "s_acctbal")
+    return s.createDataFrame([(x.count(), found is None or (0 < found["w"] <= 1 and 0 <= found["p"] <= 1))], "n long, in_range boolean")
+
+
+# base and values of every row add up to the forest's probability; quantity matters most
+@query("mdl15_shapley", "SELECT count(*) AS n, true AS adds_up, 'l_quantity' AS strongest FROM lineitem WHERE l_orderkey % 5 = 0")
+def _(s, d):
+    from traceweft.operators import shapley
+
+    train, test = training(s, d)
+    model = M.random_forest(_FEATURES, "label", trees=5, depth=4).fit(train)
+    test = test.withColumn("row", F.monotonically_increasing_id())
+    values = shapley.shapley_values(model, test, _FEATURES, "row")
+    said = model.transform(test).select("row", M.class_probability(1).alias("p"))
+    sums = values.groupBy("row").agg(F.sum("value").alias("total")).join(said, "row")
+    top = shapley.global_importance(values).orderBy(F.desc("importance")).first()["feature"]
+    return sums.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("total") - F.col("p"))) < 1e-9).alias("adds_up")).withColumn("strongest", F.lit(top))
