@@ -151,6 +151,13 @@ def test_one_vector_in_most_rows(spark):
     assert got == {3: [0, 1, 2, 4, 5], 203: [0, 1, 2, 3, 3], 1003: [0, 1, 2, 3, 3]}
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Each row under an id counts; a query with two vectors is asked for both, and its answers are ranked together."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.5, 0.5])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2.0), (1, 1.0), (2, 0.5), (2, 0.5)]
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in ann.neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()]
