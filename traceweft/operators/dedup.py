@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from traceweft.sources.scratch import scratch
+
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the first in an explicit order."""
@@ -41,8 +43,10 @@ def key_grams(key: Column) -> Column:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A table whose lineage is cut in the shared folder, or kept in memory where the session names none."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """The same rows read from a table in the shared folder, which cuts lineage and outlives executors."""
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fuzzy_keys(df: DataFrame, key: str, similarity: float = 0.8) -> DataFrame:

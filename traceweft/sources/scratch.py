@@ -29,5 +29,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path; what is written there goes when the JVM ends."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/files-{uuid.uuid4().hex}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)  # what does not exist is not noted for deletion
+    files.deleteOnExit(folder)
     return f"{folder.toString()}/{name}"
