@@ -30,10 +30,10 @@ class Tables:
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
         if self not in _live:
             _live.append(self)
-            self._on(self.base, "deleteOnExit")
-        df.write.option("compression", "zstd").parquet(path)
+            self._on(self.base, "deleteOnExit")  # works for what exists only
         self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
