@@ -54,3 +54,14 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("keys", [range(60_000), range(0, 17 * 4_000, 17), [*range(1, 17), *range(0, 17 * 4_000, 17)]], ids=["large minority", "minorities alone", "few others"])
+def test_minorities_stay_whole_at_any_size(spark, tmp_path, keys):
+    """Beyond 2,000 rows, and beyond the whole budget, minorities are kept as the SQL says."""
+    name, path = "smp07_minority_preserving", f"{tmp_path}/orders.parquet"
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(path)
+    got = catalog.queries()[name](spark, str(tmp_path)).select("id", "label", "copy").collect()
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{path}/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"select id, label, copy from ({catalog.oracle_sql()[name]})").fetchall())

@@ -69,10 +69,13 @@ def resample(df: DataFrame, label: str, row_id: str, targets: dict, seed="", cop
     return out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_rn", "_n", "_times")
 
 
-def minority_preserving_targets(counts: dict, budget: int = 150_000, whole: int = 5_000) -> dict:
-    """Classes of up to ``whole`` rows stay whole, the others share what is left of the budget by size."""
-    small = {k: n for k, n in counts.items() if n <= whole}
-    large = {k: n for k, n in counts.items() if n > whole}
+def minority_preserving_targets(counts: dict, budget: int = 150_000, whole: int = 5_000, minorities: list | None = None) -> dict:
+    """Classes of up to ``whole`` rows stay whole, the others share what is left of the budget by size.
+
+    Where ``minorities`` are named, those stay whole instead, whatever their sizes, even beyond the budget.
+    """
+    small = {k: n for k, n in counts.items() if (n <= whole if minorities is None else k in minorities)}
+    large = {k: n for k, n in counts.items() if k not in small}
     left, total = max(0, budget - sum(small.values())), sum(large.values())
     return small | {k: min(n, int(left * n / total)) for k, n in large.items()}
 

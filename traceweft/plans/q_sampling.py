@@ -65,7 +65,7 @@ def _resampled_sql(target):
     return f"WITH t AS (SELECT *, {target} AS t FROM {_RANK}) SELECT id, label, c::INTEGER AS copy FROM t, LATERAL (SELECT unnest(range(0, t // n + CASE WHEN r <= t % n THEN 1 ELSE 0 END)) AS c)"
 
 
-query("smp07_minority_preserving", _resampled_sql("CASE WHEN label > 0 THEN n ELSE least(n, floor((3000 - (SELECT count(*) FROM " + _RARE + " WHERE label > 0)))) END::BIGINT"))(_resampled(lambda c: P.minority_preserving_targets(c, 3000, 2000)))
+query("smp07_minority_preserving", _resampled_sql("CASE WHEN label > 0 THEN n ELSE least(n, floor((3000 - (SELECT count(*) FROM " + _RARE + " WHERE label > 0)))) END::BIGINT"))(_resampled(lambda c: P.minority_preserving_targets(c, 3000, minorities=[k for k in c if k > 0])))
 query("smp08_custom_ratios", _resampled_sql("CASE label WHEN 0 THEN 600 WHEN 1 THEN 250 ELSE 150 END"))(_resampled(lambda c: P.ratio_targets(c, {0: 60, 1: 25, 2: 15}, 1000)))
 query("smp09_minority_boost", _resampled_sql("CASE label WHEN 0 THEN 8000 ELSE 2000 END"))(_resampled(lambda c: P.minority_boost_targets(c, 9000)))
 query("smp10_balanced", _resampled_sql("300"))(_resampled(lambda c: P.balanced_targets(c, 900)))
