@@ -292,6 +292,37 @@ def test_smote_of_a_large_class(spark):
         assert r.neighbour in np.argsort(d, kind="stable")[:5]
 
 
+def test_smote_searches_from_starting_rows_only(spark, monkeypatch):
+    """A few new rows of a large class cost a few rows times the class; blocks of any size give the same rows."""
+    import numpy as np
+
+    x = np.random.default_rng(6).integers(0, 300, (4000, 2)).astype(float)
+    df = spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(x)], "id long, x double, y double")
+    met, search = spark.sparkContext.accumulator(0), balance._nearest
+
+    def counted(features, k):
+        run = search(features, k)
+
+        def count(left, right):
+            met.add(left.num_rows * right.num_rows)
+            return run(left, right)
+
+        return count
+
+    want = {n: sorted(map(tuple, balance.smote(df, "id", ["x", "y"], n).collect())) for n in (10, 4010)}
+    monkeypatch.setattr(balance, "BLOCK_ROWS", 250)
+    monkeypatch.setattr(balance, "_nearest", counted)
+    for n, pairs in ((10, 10 * 4000), (4010, 4000 * 4000)):
+        met.value = 0
+        got = sorted(map(tuple, balance.smote(df, "id", ["x", "y"], n).collect()))
+        assert got == want[n] and len(got) == n and met.value == pairs
+    for base, neighbour, *_ in want[10]:
+        d = ((x - x[base]) ** 2).sum(axis=1)
+        d[base] = np.inf
+        assert neighbour in np.argsort(d, kind="stable")[:5]
+    assert balance.smote(df, "id", ["x", "y"], 0).count() == 0
+
+
 def test_exact_quantiles_beyond_one_buffer(spark, monkeypatch):
     """The rounds of counting give what one buffer gives, with ties, nulls, infinities and few values."""
     import numpy as np

@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 
 from traceweft.operators.sampling import by_label, resample
 
-#: About so many rows are in a block of SMOTE's search; every block meets every block.
+#: About so many rows are in a block of SMOTE's search; every block of rows to start from meets every block of the class.
 BLOCK_ROWS = 4096
+#: Where fewer rows start, blocks of the class grow by so much at most; the pairs of a task don't.
+WIDER = 16
 
 
 def _nearest(features: list[str], k: int):
@@ -27,10 +29,11 @@ def _nearest(features: list[str], k: int):
         if not ids or not others:
             return pa.Table.from_arrays([*left.drop_columns("i").drop_columns("j").slice(0, 0).columns, *right.drop_columns("i").drop_columns("j").slice(0, 0).columns, pa.array([], pa.float64())], names=[*[c for c in left.column_names if c not in "ij"], *[c for c in right.column_names if c not in "ij"], "far"])
         most = max(Counter(others).values())  # rows that share an id are no neighbours
-        for lo in range(0, len(ids), 256):
-            d = np.zeros((len(ids[lo : lo + 256]), len(others)))
+        step = max(1, (1 << 20) // len(others))
+        for lo in range(0, len(ids), step):
+            d = np.zeros((len(ids[lo : lo + step]), len(others)))
             for x, y in zip(xs, ys):
-                d += (x[lo : lo + 256, None] - y) ** 2
+                d += (x[lo : lo + step, None] - y) ** 2
             last = min(k + most, len(others)) - 1
             bound = np.partition(d, last, axis=1)[:, last]
             for i in range(len(d)):
@@ -110,11 +113,26 @@ def before_after(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
     return j.select(label, F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
 
 
+def _least(rows: DataFrame, order, by: str, most: int) -> DataFrame:
+    """The rows of the ``most`` least hashes, equal ones by a column, with _place; rows equal in both stay together, some of them beyond ``most``.
+
+    Rows are cut by the first bits of the hash, whose counts tell the parts that are needed; no task sorts them all.
+    """
+    cut = rows.withColumn("_h", order).withColumn("_part", F.shiftright("_h", 52))
+    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.select("_part", before.alias("_before")).where(F.col("_before") < most)  # 4,096 rows at most
+    w = Window.partitionBy("_part").orderBy("_h", by)
+    placed = cut.join(F.broadcast(parts), "_part").withColumn("_place", F.row_number().over(w) + F.col("_before")).withColumn("_first", F.rank().over(w) + F.col("_before"))
+    return placed.where(F.col("_first") <= most).drop("_h", "_part", "_before", "_first")
+
+
 def smote(minority: DataFrame, row_id: str, features: list[str], new_rows: int, k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic rows between a row of the minority and one of its k nearest.
 
-    Neighbours are exact within the class: hashed blocks of rows meet each other, keep k a row and are merged. The
-    work grows with the square of the class, the memory of a task does not.
+    Rows start in the order of a hash, all of them once before any starts again. Neighbours are exact within the
+    whole class and looked for only from rows that start: hashed blocks of those meet blocks of the class, keep k a
+    row and are merged. The work grows with the starting rows times the class, the memory of a task does not.
     """
     n = minority.count()
     k = min(5 if k is None else k, n - 1)
@@ -122,15 +140,18 @@ def smote(minority: DataFrame, row_id: str, features: list[str], new_rows: int,
         raise ValueError("a class needs two rows to be interpolated")
     a = minority.select(F.col(row_id).alias("a"), *[F.col(c).cast("double").alias(f"a_{c}") for c in features])
     b = minority.select(F.col(row_id).alias("b"), *[F.col(c).cast("double").alias(f"b_{c}") for c in features])
-    blocks = math.ceil(n / BLOCK_ROWS)
-    block, every = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = a.withColumn("i", block("a")).withColumn("j", every), b.withColumn("j", block("b")).withColumn("i", every)
+    full, last = divmod(new_rows, n)  # so often all rows start, then so many once more
+    once = _least(a, F.xxhash64("a", F.lit(seed)), "a", last)
+    base = once.where(F.col("_place") <= last).select("a", F.lit(full).alias("copy"))
+    if full:
+        base = base.unionByName(a.select("a", F.explode(F.sequence(F.lit(0), F.lit(full - 1))).alias("copy")))
+    start, starts = (a, n) if full else (once.drop("_place"), last)
+    rows, others = max(1, math.ceil(starts / BLOCK_ROWS)), math.ceil(n / BLOCK_ROWS / min(WIDER, max(1, BLOCK_ROWS / max(1, starts))))
+    block, every = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int"), lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left, right = start.withColumn("i", block("a", rows)).withColumn("j", every(others)), b.withColumn("j", block("b", others)).withColumn("i", every(rows))
     kept = StructType([*a.schema.fields, *b.schema.fields, StructField("far", DoubleType())])
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_nearest(features, k), kept)
     near = met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("_r") <= k)
-    order = F.xxhash64("a", F.lit(seed))
-    per = math.ceil(new_rows / n)
-    base = a.select("a", F.row_number().over(Window.orderBy(order, "a")).alias("_p")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).where(F.col("copy") * n + F.col("_p") <= new_rows)
     pick = base.withColumn("_r", (F.pmod(F.xxhash64("a", "copy", F.lit(seed)), F.lit(k)) + 1).cast("int"))
     u = (F.pmod(F.xxhash64("copy", "a", F.lit(seed + 1)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     return pick.join(near, ["a", "_r"]).withColumn("u", u).select(F.col("a").alias("base"), F.col("b").alias("neighbour"), "copy", "u", *[(F.col(f"a_{c}") + F.col("u") * (F.col(f"b_{c}") - F.col(f"a_{c}"))).alias(c) for c in features])
