@@ -422,3 +422,39 @@ def test_one_passage_in_very_many_documents(spark):
     df = spark.range(20_000).select((F.col("id") + 5).alias("doc_id"), F.concat(F.lit("own"), F.col("id").cast("string"), F.lit(" " + passage)).alias("text"))
     got = substring.remove_repeats(df).groupBy("n_words", "n_removed").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).collect()
     assert sorted(map(tuple, got)) == [(61, 0, 1, 5), (61, 60, 19_999, 6)]
+
+
+def test_rows_meet_python_with_their_text_once(spark, monkeypatch):
+    """A row that comes along doesn't repeat its text in the batches, and comes out as it went in."""
+    rng = random.Random(9)
+    long = [" ".join(rng.choice(["the", "of", "and", "house", "water", "then", "where"]) + str(rng.randrange(50)) for _ in range(400)) for _ in range(40)]
+    texts = [*long, "<html lang='en'><p>the house of the water and the trees</p>", "", None, " \t"]
+    df = spark.createDataFrame([(i, t, "en", f"src {i}", -i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {tuple(r) for r in df.collect()}
+    sent, whole = spark.sparkContext.accumulator(0), sum(len(t) for t in long)
+
+    def counting(f):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    if "row" in b.schema.names:
+                        sent.add(b.nbytes)
+                    yield b
+
+            return f(seen())
+
+        return run
+
+    scored = langid._scored
+    monkeypatch.setattr(langid, "_scored", lambda *a: counting(scored(*a)))
+    monkeypatch.setattr(near_dup, "_classes", counting(near_dup._classes))
+    monkeypatch.setattr(substring, "_anchors", counting(substring._anchors))
+    for run, n in ((lambda d: langid.identify(d, rows_too=True).select("row.*"), len(texts)), (near_dup.one_of_each, len(texts)), (lambda d: substring.remove_repeats(d, rows_too=True).select("row.*"), len(texts))):
+        sent.value = 0
+        out = run(df)
+        assert out.dtypes == df.dtypes
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == n and set(got) == rows
+        assert whole < sent.value < 1.5 * whole
+    odd = spark.createDataFrame([(1, 12, "x"), (2, 12, "y"), (3, None, "z")], "doc_id long, text int, other string")
+    assert {tuple(r) for r in near_dup.one_of_each(odd).collect()} == {(1, 12, "x"), (3, None, "z")}

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceweft.llm.beside import split
 from traceweft.llm.durable import Tables
 from traceweft.llm.samples import CHARS, LONGEST, ROWS, bounded, some
 from traceweft.llm.words import buffer_of, pieces
@@ -119,10 +121,10 @@ class TextModel:
         return out, letters > 0
 
 
-def _scored(model: TextModel):
+def _scored(model: TextModel, whole: str):
     def run(batches):
-        for b in pieces(batches):
-            logs, letters = model.likelihoods(b.column("text"))
+        for b in pieces(batches, column=whole):
+            logs, letters = model.likelihoods(pc.coalesce(b.column("text"), b.column(whole)))
             rest = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
             flat = pa.array(logs.ravel())
             ends = np.arange(0, flat.__len__() + 1, len(model.languages) + 1, dtype=np.int32)
@@ -158,20 +160,21 @@ def identify(
     langs = model.languages
     address = F.lower(F.coalesce(F.col(host).cast("string"), F.lit(""))) if host else F.lit("")
     name = F.regexp_extract(F.regexp_replace(address, r"^[a-z][a-z0-9+.-]*://", ""), r"^([^/?#:]*)", 1)
+    rest, again = split(docs, text, "kept")
     named = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        rest,
         F.col(doc_id).alias("doc_id"),
         F.nullif(name, F.lit("")).alias("host"),
         F.regexp_extract(name, r"\.([a-z]+)$", 1).alias("suffix"),
         F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(text).cast("string"), F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1)), F.lit("")).alias("declared"),
-        F.col(text).cast("string").alias("text"),
-    ).withColumn("text", F.when(F.col("declared").isNotNull(), F.regexp_replace("text", r"<[^<>]*>", " ")).otherwise(F.col("text")))
-    more = ["row"] if rows_too else []
-    base = named.drop("row")
+        F.col(text).cast("string").alias("kept"),
+    ).withColumn("text", F.when(F.col("declared").isNotNull(), F.regexp_replace("kept", r"<[^<>]*>", " ")))  # null: as it is
+    more = [again] if rows_too else []
+    base = named.withColumn("text", F.coalesce("text", "kept")).drop("row", "kept")
     whole = named if rows_too else base
     if not langs:
         return whole.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), "declared", F.lit(False).alias("accepted"), *more)
-    score = lambda df: df.mapInArrow(_scored(model), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "text") + ", logs array<double>, letters boolean")
+    score = lambda df: df.mapInArrow(_scored(model, "kept" if "kept" in df.columns else "text"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "text") + ", logs array<double>, letters boolean")
     first = t.keep("first", score(base))
     # with rows the texts are scored again in the end, which takes no disk; a table of whole texts would
     final = score(whole) if rows_too else first
@@ -208,4 +211,4 @@ def identify(
     sure = F.col("letters") & (F.col("probability") >= least)
     out = fused.select("doc_id", "declared", "letters", *more, best.alias("probability"), lang.alias("lang"))
     ok = sure & F.col("lang").isin(wanted) if wanted is not None else sure
-    return out.select("doc_id", F.when(sure, F.col("lang")).alias("lang"), "probability", "declared", ok.alias("accepted"), *more)
+    return out.select("doc_id", F.when(sure, F.col("lang")).alias("lang"), "probability", "declared", ok.alias("accepted"), *(["row"] if rows_too else []))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from traceweft.llm.beside import split
 from traceweft.llm.components import components
 from traceweft.llm.durable import Tables
 from traceweft.llm.words import U, mix, pieces, set_hash, windows, words_of
@@ -34,6 +35,8 @@ from traceweft.llm.words import U, mix, pieces, set_hash, windows, words_of
 WIDTH = 5
 #: Buckets of this many classes or more are crowded.
 CROWD = 16
+#: Bytes of texts that Python takes at a time.
+TEXTS = 1 << 20
 #: Sets of at most this many shingles also stand in buckets of their least hashes, where no link of theirs can be missed:
 #: densified bins of few shingles are no independent draws.
 SMALL = 80
@@ -112,7 +115,7 @@ def prefix(values: np.ndarray, percent: int) -> np.ndarray:
 def _sketcher(bands: int, rows: int, percent: int):
     def run(batches):
         sketch = Sketch(bands, rows)
-        for b in pieces(batches):
+        for b in pieces(batches, TEXTS):
             sets = shingle_sets(b.column("text"))
             sig = np.zeros((len(sets), sketch.bins), U)
             for i, s in enumerate(sets):
@@ -136,15 +139,15 @@ def _sketcher(bands: int, rows: int, percent: int):
 
 
 def _classes(batches):
-    """The class of each row, beside the row."""
-    for b in pieces(batches):
+    """The class of each row, beside the text and the rest of the row."""
+    for b in pieces(batches, TEXTS):
         sets = shingle_sets(b.column("text"))
         cls = pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), cls, b.column("row")], names=["doc_id", "n_shingles", "cls", "row"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), cls, b.column("text"), b.column("row")], names=["doc_id", "n_shingles", "cls", "text", "row"])
 
 
 def _sets(batches):
-    for b in pieces(batches):
+    for b in pieces(batches, TEXTS):
         sets, cls = shingle_sets(b.column("text")), b.column("cls").to_pylist()
         same = [i for i, s in enumerate(sets) if set_hash(s) == cls[i]]
         flat = np.concatenate([sets[i] for i in same] or [np.zeros(0, U)]).view(np.int64)
@@ -179,10 +182,11 @@ def one_of_each(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
     # rows meet their class again from the texts themselves; a table of whole texts would take the disk of the input
     body = F.col(text).cast("string")
     worded = F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    whole = docs.where(worded).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = whole.mapInArrow(_classes, f"doc_id long, n_shingles long, cls binary, row {whole.schema['row'].dataType.simpleString()}")
+    rest, again = split(docs, text, "text")
+    whole = docs.where(worded).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), rest)
+    found = whole.mapInArrow(_classes, f"doc_id long, n_shingles long, cls binary, text string, row {whole.schema['row'].dataType.simpleString()}")
     # the id is part of the key, so that copies of one hot text spread
-    met = found.select("cls", "row", *known).join(leads, ["cls", "none", "id"])
+    met = found.select("cls", again, *known).join(leads, ["cls", "none", "id"])
     one = met.groupBy("cls", "none", "id").agg(F.first("row").alias("row")).select("row.*")
     return one.unionByName(docs.where(~worded))
 

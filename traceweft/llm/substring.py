@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceweft.llm.beside import split
 from traceweft.llm.durable import Tables
 from traceweft.llm.words import U, Words, pieces, sequence_hash, windows, words_of
 
@@ -47,10 +48,10 @@ def _anchors(batches):
             lists.append(every[a + at[cover[at % PERIOD]]])
         ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        rest = [b.column(i) for i, name in enumerate(b.schema.names) if name == "row"]
+        rest = [b.column(i) for i, name in enumerate(b.schema.names) if name in ("row", "text") and "row" in b.schema.names]
         yield pa.RecordBatch.from_arrays(
             [*rest, b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(seqs, pa.binary()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(ends, pa.array(flat))],
-            names=[*(["row"] if rest else []), "doc_id", "n_words", "seq", "sha", "anchors"],
+            names=[*(["row", "text"] if rest else []), "doc_id", "n_words", "seq", "sha", "anchors"],
         )
 
 
@@ -147,8 +148,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     scan = "doc_id long, n_words long, seq binary, sha string, anchors array<long>"
     scanned = base.mapInArrow(_anchors, scan)
     if rows_too:
-        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        seen = whole.mapInArrow(_anchors, f"row {whole.schema['row'].dataType.simpleString()}, {scan}").drop("anchors")
+        rest, again = split(docs, text, "text")
+        whole = docs.select(rest, F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+        seen = whole.mapInArrow(_anchors, f"row {whole.schema['row'].dataType.simpleString()}, text string, {scan}")
+        seen = seen.select(again, "doc_id", "n_words", "seq", "sha")
     else:
         seen = scanned.select("doc_id", "n_words", "seq", "sha")
     # one row for each sequence of words: that of its least doc_id
