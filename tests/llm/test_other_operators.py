@@ -420,6 +420,21 @@ def test_working_tables_go(spark):
     assert not base.exists()
 
 
+def test_working_tables_make_no_files_but_their_parts(spark):
+    """In a plain folder each file costs a process."""
+    from pathlib import Path
+
+    from traceweft.llm import durable
+
+    since = durable.mark()
+    t = durable.Tables(spark, "parts")
+    df = t.keep("a", spark.range(1000, numPartitions=3))
+    base = Path(t.base.removeprefix("file://")) / "a"
+    assert len(list(base.iterdir())) == 3 and all(p.name.startswith("part-") for p in base.iterdir())
+    assert df.count() == 1000 and df.agg({"id": "sum"}).first()[0] == 499_500
+    durable.release(since)
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 

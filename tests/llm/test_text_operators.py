@@ -458,3 +458,16 @@ def test_rows_meet_python_with_their_text_once(spark, monkeypatch):
         assert whole < sent.value < 1.5 * whole
     odd = spark.createDataFrame([(1, 12, "x"), (2, 12, "y"), (3, None, "z")], "doc_id long, text int, other string")
     assert {tuple(r) for r in near_dup.one_of_each(odd).collect()} == {(1, 12, "x"), (3, None, "z")}
+
+
+def test_no_table_of_scores_that_are_read_once(spark, monkeypatch):
+    kept = []
+    keep = langid.Tables.keep
+    monkeypatch.setattr(langid.Tables, "keep", lambda self, name, df: kept.append(name) or keep(self, name, df))
+    rows = [(i, "the house of the water and the trees" if i % 2 else "das Haus und der Baum an dem Wasser", "en" if i % 2 else "de", f"s{i % 3}.org") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plain = {tuple(r) for r in langid.identify(df).select("doc_id", "lang", F.round("probability", 9), "accepted").collect()}
+    assert "first" in kept
+    kept.clear()
+    assert {tuple(r) for r in langid.identify(df, rows_too=True).select("doc_id", "lang", F.round("probability", 9), "accepted").collect()} == plain
+    assert "first" not in kept

@@ -175,8 +175,8 @@ def identify(
     if not langs:
         return whole.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), "declared", F.lit(False).alias("accepted"), *more)
     score = lambda df: df.mapInArrow(_scored(model, "kept" if "kept" in df.columns else "text"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "text") + ", logs array<double>, letters boolean")
-    first = t.keep("first", score(base))
     # with rows the texts are scored again in the end, which takes no disk; a table of whole texts would
+    first = score(base) if rows_too else t.keep("first", score(base))
     final = score(whole) if rows_too else first
     n = len(langs) + 1  # the last class is for all other texts
     each = range(n)
